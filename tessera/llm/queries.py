@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, htmlmain, langid, lm, minhash, tokenbin, warc
+from tessera.llm import ann, bpe, decontam, htmlmain, langid, lm, minhash, tokenbin, warc
 from tessera.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,10 @@ def op5_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.archive(spark, table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_score": op3_lm_score,
     "op4_language_id": op4_language_id,
     "op5_token_archive": op5_token_archive,
+    "op6_decontamination": op6_decontamination,
     "op7_bpe": op7_bpe,
     "op9_main_text": op9_main_text,
     "op10_warc": op10_warc,
@@ -90,6 +95,29 @@ m AS (SELECT d, min(t) AS t FROM r GROUP BY 1)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(m.t, w.doc_id)) AS component_id,
        w.doc_id <= coalesce(m.t, w.doc_id) AS kept
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.d = w.doc_id
+""",
+    "op6_decontamination": r"""
+WITH m AS (SELECT * FROM (VALUES (0, [0, 1, 3, 4, 6, 8, 9, 10]), (1, [0, 2, 3, 5, 6, 7, 9, 10]), (2, [0, 1, 2, 4, 5, 7, 8, 10])) AS t(k, mask)),
+d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS v FROM benchmark),
+ds AS (SELECT doc_id, w, unnest(range(0, len(w) - 10)) AS p FROM d WHERE len(w) >= 11),
+bs AS (SELECT item_id, v, unnest(range(0, len(v) - 10)) AS q FROM b WHERE len(v) >= 11),
+dk AS (SELECT doc_id, p, k, array_to_string(list_transform(mask, lambda o: w[p + o + 1]), ' ') AS key FROM ds CROSS JOIN m),
+bk AS (SELECT item_id, q, len(v) AS n, k, array_to_string(list_transform(mask, lambda o: v[q + o + 1]), ' ') AS key FROM bs CROSS JOIN m),
+hl AS (
+  SELECT DISTINCT doc_id, item_id, greatest(0, least(q - 3, n - 16)) AS lo, least(16, n) AS size, p - q + greatest(0, least(q - 3, n - 16)) AS first
+  FROM dk JOIN bk USING (k, key)),
+sd AS (SELECT doc_id, unnest(range(0, len(w) - n + 1)) AS p, w, n FROM d JOIN (SELECT DISTINCT len(v) AS n FROM b WHERE len(v) BETWEEN 1 AND 10) s ON len(w) >= n),
+hs AS (
+  SELECT DISTINCT doc_id, item_id, 0 AS lo, n AS size, p AS first
+  FROM sd JOIN b ON len(v) = n AND array_to_string(w[p + 1:p + n], ' ') = array_to_string(v, ' ')),
+h AS (SELECT * FROM hl UNION SELECT * FROM hs),
+c AS (
+  SELECT h.doc_id, h.item_id, h.size, h.first,
+         len(list_filter(range(0, h.size), lambda i: h.first + i >= 0 AND h.first + i < len(d.w) AND d.w[h.first + i + 1] = b.v[h.lo + i + 1])) AS matched
+  FROM h JOIN d ON d.doc_id = h.doc_id JOIN b ON b.item_id = h.item_id)
+SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched, CAST(max(size) AS BIGINT) AS "window", CAST(min(first) AS BIGINT) AS first_word
+FROM c WHERE matched * 100 >= size * 80 GROUP BY doc_id, item_id
 """,
     "op10_warc": """
 WITH p AS (
