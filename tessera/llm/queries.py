@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, decontam, htmlmain, langid, lm, minhash, tokenbin, warc
+from tessera.llm import ann, bpe, decontam, htmlmain, langid, linededup, lm, minhash, tokenbin, warc
 from tessera.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +42,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.extract(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_archive": op5_token_archive,
     "op6_decontamination": op6_decontamination,
     "op7_bpe": op7_bpe,
+    "op8_line_dedup": op8_line_dedup,
     "op9_main_text": op9_main_text,
     "op10_warc": op10_warc,
 }
@@ -118,6 +123,28 @@ c AS (
   FROM h JOIN d ON d.doc_id = h.doc_id JOIN b ON b.item_id = h.item_id)
 SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched, CAST(max(size) AS BIGINT) AS "window", CAST(min(first) AS BIGINT) AS first_word
 FROM c WHERE matched * 100 >= size * 80 GROUP BY doc_id, item_id
+""",
+    "op8_line_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+l AS (SELECT doc_id, unnest(range(0, len(ls))) AS line_no, lower(unnest(ls)) AS line FROM d),
+k AS (
+  SELECT line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT line FROM l)),
+i AS (SELECT line, w, row_number() OVER (ORDER BY line) AS node FROM k WHERE len(w) > 0),
+s AS (
+  SELECT DISTINCT node, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                               ELSE list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j + 4], ' ')) END) AS g
+  FROM i),
+n AS (SELECT node, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.node AS x, b.node AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.node < b.node GROUP BY 1, 2),
+e AS (
+  SELECT x, y FROM p JOIN n nx ON nx.node = x JOIN n ny ON ny.node = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)
+  UNION ALL SELECT y, x FROM p JOIN n nx ON nx.node = x JOIN n ny ON ny.node = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+r(f, t) AS (SELECT x, y FROM e UNION SELECT r.f, e.y FROM r JOIN e ON e.x = r.t),
+c AS (SELECT i.line, least(i.node, coalesce(m.t, i.node)) AS label FROM i LEFT JOIN (SELECT f, min(t) AS t FROM r GROUP BY 1) m ON m.f = i.node),
+o AS (SELECT DISTINCT l.doc_id, l.line_no, c.label FROM l JOIN c ON c.line = l.line),
+z AS (SELECT *, first_value(doc_id) OVER w AS first_doc_id, first_value(line_no) OVER w AS first_line_no FROM o WINDOW w AS (PARTITION BY label ORDER BY doc_id, line_no))
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, first_doc_id, CAST(first_line_no AS BIGINT) AS first_line_no
+FROM z WHERE (doc_id, line_no) > (first_doc_id, first_line_no)
 """,
     "op10_warc": """
 WITH p AS (
