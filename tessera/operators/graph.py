@@ -95,17 +95,18 @@ def descent_round(edges: DataFrame, fresh: DataFrame, points: DataFrame, k: int,
     return best_edges(edges.unionByName(found).unionByName(reverse(found)), k)
 
 
-def nn_descent(points: DataFrame, k: int = 16, rounds: int = 6, sample: int = 12, metric: str = "l2sqr", seed: int = 1998, delta: float = 0.002, init: DataFrame | None = None) -> DataFrame:
-    """Local joins from random (or given) edges until fewer than ``delta`` of the edges are new."""
-    edges = saved(best_edges(init if init is not None else random_edges(points, k, seed, metric), k))
+def nn_descent(points: DataFrame, k: int = 16, rounds: int = 6, sample: int = 20, pool: int = 3, metric: str = "l2sqr", seed: int = 1998, delta: float = 0.002, init: DataFrame | None = None) -> DataFrame:
+    """Local joins from random (or given) edges until fewer than ``delta`` of the edges are new; nodes hold pool * k neighbours meanwhile."""
+    held = pool * k
+    edges = saved(best_edges(init if init is not None else random_edges(points, held, seed, metric), held))
     fresh = edges
     for _ in range(rounds):
-        after = saved(descent_round(edges, fresh, points, k, sample, metric))
+        after = saved(descent_round(edges, fresh, points, held, sample, metric))
         fresh = saved(after.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "dist"))
         edges = after
         if fresh.count() <= delta * edges.count():
             break
-    return edges
+    return best_edges(edges, k)
 
 
 def pruned(edges: DataFrame, points: DataFrame, limit: int, metric: str) -> tuple[DataFrame, DataFrame]:
