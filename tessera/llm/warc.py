@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import finished_file, make_dir, materialize, open_fs, shared_dir
+from tessera.llm.common import finished_file, make_dir, materialize, open_fs, shared_dir, slices
 
 MIN_DUPLICATE = 100
 BLOCK_LINES = 300
@@ -49,26 +49,38 @@ def url_key(url: Column) -> Column:
 
 
 def with_roles(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, key and refers_to (null: response) of each page."""
+    """page_id, url, payload size n, digest, key, refers_to (null: response) and the response record of each page.
+
+    Records are compressed before any shuffle, and a revisit's is dropped.
+    """
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    small = pages.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n")).where(F.col("n") >= MIN_DUPLICATE).select("page_id", "digest")
+    small = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= MIN_DUPLICATE).select("page_id", "digest")
     first = small.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to")
     # The hot payload's rows can be split by the join: one row stands on the other side.
     revisits = small.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
-    keyed = pages.withColumn("key", url_key(F.col("url"))).withColumn("digest", F.when(F.octet_length("payload") >= MIN_DUPLICATE, F.sha2("payload", 256)))
-    return keyed.join(revisits, ["page_id", "digest"], "left").select("key", "page_id", "url", "payload", "refers_to")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids, urls, payloads = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [(h or "").encode() for h in batch.column(2).to_pylist()]
+            digests = [hashlib.sha256(p).hexdigest() for p in payloads]
+            records = [_record(i, u, d, len(p), p, None) for i, u, d, p in zip(ids, urls, digests, payloads, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, payloads), pa.int64()), pa.array(digests, pa.string()), pa.array(records, pa.binary())], ["page_id", "url", "n", "digest", "record"])
+
+    made = pages.mapInArrow(run, "page_id long, url string, n long, digest string, record binary")
+    out = made.withColumn("key", url_key(F.col("url"))).join(revisits, ["page_id", "digest"], "left")
+    return out.select("key", "page_id", "url", "digest", "n", "refers_to", F.when(F.col("refers_to").isNull(), F.col("record")).alias("record"))
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def _record(page_id: int | None, url: str | None, digest: str, n: int, payload: bytes, refers_to: int | None) -> bytes:
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Date: {DATE}",
-        f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}",
+        f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -126,8 +138,9 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                 index_at += len(block)
                 lines.clear()
 
-            for key, page_id, url, payload, refers_to in _with(first, rows):
-                record = _record(page_id, url, payload, refers_to)
+            for key, page_id, url, digest, size, refers_to, record in _with(first, rows):
+                if record is None:
+                    record = _record(page_id, url, digest, size, b"", refers_to)
                 warc.write(record)
                 lines.append(f"{key} {at} {len(record)}")
                 at, n, last = at + len(record), n + 1, key
