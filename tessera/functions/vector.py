@@ -82,13 +82,6 @@ def estimated_ip(norm, x, y, bits: int = 64) -> Column:
     return _col(norm) * F.cos(F.lit(3.141592653589793) * hamming(x, y) / F.lit(float(bits)))
 
 
-def morton(hashes, bits: int) -> Column:
-    """Z-order key: the ``bits`` low bits of the values interleaved, highest first."""
-    place = F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1))
-    flat = F.flatten(F.transform(place, lambda b: F.transform(_col(hashes), lambda h: F.expr("(bigint(0))") + h.bitwiseAND(F.call_function("shiftleft", F.lit(1), b)).cast("boolean").cast("bigint"))))
-    return F.aggregate(flat, F.lit(0).cast("bigint"), lambda s, v: F.shiftleft(s, 1).bitwiseOR(v))
-
-
 def common_prefix(x, y) -> Column:
     """Length of the common prefix of two non-negative 64-bit keys; 64 when equal."""
     v = _col(x).bitwiseXOR(_col(y))

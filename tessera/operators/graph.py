@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vector
-from tessera.operators import exact, kernels, partition
+from tessera.operators import exact, kernels, partition, srp
 
 EDGE = "src long, dst long, dist double"
 
@@ -182,8 +182,6 @@ def chunk_graph(chunked: DataFrame, table: DataFrame, k: int = 24, width: int =
     Normal edges start from the cross join of code orders and go one hop along the
     tangential edges of what it finds.
     """
-    from tessera.operators import srp
-
     found = srp.kjoin(chunked, table, width, k).select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")
     inside = saved(best_edges(found.unionByName(partition.window_edges(chunked, 4)), k))
     pairs = partition.block_pairs(partition.chunk_stats(chunked))

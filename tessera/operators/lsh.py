@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vector
-from tessera.operators import exact
+from tessera.operators import exact, kernels
 
 
 def parameters(dim: int, tables: int, k: int, width: float, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -27,19 +27,13 @@ def project(points: DataFrame, a: np.ndarray, b: np.ndarray, width: float) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = exact.matrix(batch.column(names.index("vec"))) if batch.num_rows else np.zeros((0, a.shape[1]))
-            h = (np.stack([kernel_dot(x, row) for row in a], axis=1) + b) / width
+            h = (np.stack([kernels.dot(x, row[None]) for row in a], axis=1) + b) / width
             ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(b))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(h.ravel()))], [*names, "h"])
 
     return points.mapInArrow(run, f"{points.schema.toDDL()}, h array<double>")
 
 
-def kernel_dot(x: np.ndarray, row: np.ndarray) -> np.ndarray:
-    from tessera.operators.kernels import dot
-
-    return dot(x, row[None])
-
-
 def bucket_keys(projected: DataFrame, tables: int, k: int) -> DataFrame:
     """(id, tbl, key): the floored values of each table; the whole array is the key, so different values never meet."""
     floors = F.transform("h", lambda v: F.floor(v))
