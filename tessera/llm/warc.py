@@ -59,6 +59,8 @@ def with_roles(pages: DataFrame) -> DataFrame:
     first = small.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to")
     # The hot payload's rows can be split by the join: one row stands on the other side.
     revisits = small.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    # Written first, so that the planner knows its size: records are only shuffled for the join if this is too large to broadcast.
+    revisits = materialize(revisits, "warc-revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
