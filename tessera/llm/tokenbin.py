@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -33,13 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import byte_symbols
 from tessera.llm.common import finished_file, make_dir, materialize, open_fs, shared_dir, slices
 
 MAGIC = b"TKZDICT1"
 #: Dictionary bytes, and the documents it is trained on: those of smallest id hash with at most so many characters.
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 32_768, 400, 16_384
 LEVEL = 3
-KEPT_WORDS = 200_000
+KEPT_WORDS = 250_000
 #: Frames read together.
 RUN_BYTES = 4 << 20
 PUNCTUATION = b".,;:!?*#$%&()\"-|"
@@ -60,8 +62,19 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.symbols = byte_symbols()
         self.words = _Words(self._word)
-        self.stems = _Words(lambda w: np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes())
+        self.stems = _Words(self._stem)
+
+    def _stem(self, word: bytes) -> bytes:
+        text = word.decode()
+        if text.isalpha():
+            # One pre-token: the library's model takes its normalised, byte-level form at once.
+            low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            if low.isalpha():
+                shown = low if low.isascii() else "".join(map(self.symbols.__getitem__, low.encode()))
+                return np.array([t.id for t in self.library.model.tokenize(shown)], dtype="<u4").tobytes()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: bytes) -> bytes:
         low = word.lower() if word.isascii() else word
@@ -99,7 +112,9 @@ def encoder(path: str) -> LibraryEncoder:
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int) -> bytes:
     """A dictionary from a bounded sample (SAMPLE_DOCS short documents by id hash); empty when there is too little text."""
-    short = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("g"))
+    hashed = docs.withColumn("h", F.xxhash64("doc_id"))
+    least = [r.h for r in hashed.select("h").orderBy("h").limit(2 * SAMPLE_DOCS).collect()]
+    short = hashed.where(F.col("h") <= (least[-1] if least else 0)).where(F.length("text").between(1, SAMPLE_CHARS)).select("text", "h", F.xxhash64("text").alias("g"))
     texts = [r.text for r in short.orderBy("h", "g").limit(SAMPLE_DOCS).collect()]
     own = encoder(vocabulary)
     end = np.uint32(end_id).tobytes()
