@@ -20,10 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm import closure
+from tessera.llm.common import materialize, slices
 
 FEATURES = 8192
 CENTROIDS = 4
@@ -130,12 +131,12 @@ def fit(docs: DataFrame, learn: Column) -> Model:
     for r in summed:
         n, idf[r.feature] = r.n, np.log((1 + r.n) / (1 + r.seen)) + 1
 
-    from pyspark.sql import Window
-
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("at", F.row_number().over(first)).where(F.col("at") <= SAMPLE)
-    # At most SAMPLE ids a language; Spark broadcasts them if they are small enough.
-    texts = rows.join(chosen.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
+    # The least hashes of a language, of 64 parts first: no task gathers more than SAMPLE rows from each of those.
+    chosen = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
+    for keys in (("lang", "part"), ("lang",)):
+        chosen = chosen.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("at") <= SAMPLE)
+    chosen = materialize(chosen.select("doc_id", "lang").distinct(), "langid-sample")
+    texts = closure.maybe_in(rows, F.col("doc_id"), chosen.select("doc_id")).join(chosen, ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
 
     def cluster(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
