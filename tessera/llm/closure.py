@@ -1,10 +1,11 @@
 """Classes of linked nodes from bucket membership, without all pairs of a bucket.
 
 Two nodes are candidates when they share a bucket.  First every node is compared with
-its buckets' pivot (the node that stands for most copies); links found are closed into
-classes.  Then only nodes of different classes that share a bucket are compared, so a
-large group of copies, one class by then, makes no pairs.  Every candidate pair is thus
-tested or joined by tested links: the classes are those of all links.
+its buckets' pivot (the node that stands for most copies), then, ``random_rounds`` times,
+with a random pivot of each bucket; links found are closed into classes.  At last only
+nodes of different classes that share a bucket are compared, so a large group of
+copies, one class by then, makes no pairs.  Every candidate pair is thus tested or
+joined by tested links: the classes are those of all links.
 """
 
 from __future__ import annotations
@@ -51,29 +52,41 @@ def maybe_in(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     return hit.select(*rows.columns)
 
 
-def classes(members: DataFrame, near: Callable[[str, str], Column], linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def classes(members: DataFrame, near: Callable[[str, str], Column], linked: Callable[[DataFrame], DataFrame], once: Callable[[str, str], Column] | None = None, random_rounds: int = 2) -> DataFrame:
     """(node, label) of the nodes that have a link.
 
     ``members`` has bucket, node (long), copies and what ``near(x, y)`` reads of two
-    rows under these aliases: whether the pair can be a link at all.  ``linked`` keeps
-    the links of pairs (a, b), a < b.
+    rows under these aliases: whether the pair can be a link at all.  ``once`` may pick
+    one of the buckets that a pair shares.  ``linked`` keeps the links of pairs (a, b),
+    a < b.
     """
-    at_pivot = members.groupBy("bucket").agg(F.max_by("node", "copies").alias("pivot"))
-    pivots = members.join(at_pivot, "bucket").where("node = pivot").drop("pivot")
-    star = members.alias("x").join(pivots.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") != F.col("y.node")) & near("x", "y"))
-    first = materialize(_pairs(star), "pairs")
-    found = materialize(linked(first), "links")
-    labels = components(found)
-    # Buckets in which two classes or more are left.
-    now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    left = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    now = materialize(now.join(left, "bucket"), "open")
-    others = now.alias("x").join(now.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & near("x", "y"))
-    second = materialize(_pairs(others).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(linked(second), "links")
-    if not more.limit(1).count():
+    same = F.col("x.bucket") == F.col("y.bucket")
+    now, labels, tested = members.withColumn("label", F.col("node")), None, None
+    for turn in range(1 + random_rounds):
+        # The pivot: first the node of most copies, then another one of each bucket.
+        first = F.col("copies") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
+        at_pivot = now.groupBy("bucket").agg(F.max_by("node", first).alias("pivot"))
+        pivots = now.join(at_pivot, "bucket").where("node = pivot").drop("pivot")
+        star = now.alias("x").join(pivots.alias("y"), same & (F.col("x.label") != F.col("y.label")) & near("x", "y"))
+        pairs = _pairs(star)
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        labels = _merged(labels, materialize(linked(pairs), "links"))
+        # Buckets in which two classes or more are left.
+        now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        left = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+        now = materialize(now.join(left, "bucket"), "open")
+    others = now.alias("x").join(now.alias("y"), same & (F.col("x.label") < F.col("y.label")) & (once("x", "y") if once else F.lit(True)) & near("x", "y"))
+    rest = materialize(_pairs(others).join(tested, ["a", "b"], "left_anti"), "pairs")
+    return _merged(labels, materialize(linked(rest), "links"))
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    if labels is None:
+        return components(links)
+    if not links.limit(1).count():
         return labels
-    return components(found.union(more))
+    return components(links.union(labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))))
 
 
 def _pairs(joined: DataFrame) -> DataFrame:

@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import closure
@@ -111,17 +112,29 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, signature array<long>")
 
 
+def _differing(v: Column) -> Column:
+    """Lanes of an exclusive or that are not zero: every other lane at a time, one that is not zero carries into the bit above it."""
+    lanes, carry = F.lit(0x0000FFFF0000FFFF), F.lit(0x0001000000010000)
+    even, odd = (F.bit_count((half.bitwiseAND(lanes) + lanes).bitwiseAND(carry)) for half in (v, F.shiftrightunsigned(v, BITS)))
+    return even + odd
+
+
+def chunk_distance(x: str, y: str, chunk: int | str) -> Column:
+    return _differing(F.expr(f"({x}.signature[{chunk}] ^ {y}.signature[{chunk}])"))
+
+
 def differing(x: str, y: str) -> Column:
-    """Number of positions in which two signatures differ: lanes of the exclusive or that are not zero."""
-    total = None
-    for c in range(CHUNKS):
-        v = F.expr(f"({x}.signature[{c}] ^ {y}.signature[{c}])")
-        # The lowest bit of a lane becomes the disjunction of its bits.
-        for step in (8, 4, 2, 1):
-            v = v.bitwiseOR(F.shiftrightunsigned(v, step))
-        lanes = F.bit_count(v.bitwiseAND(F.lit(sum(1 << BITS * k for k in range(LANES)))))
-        total = lanes if total is None else total + lanes
-    return total
+    """Number of positions in which two signatures differ."""
+    return reduce(Column.__add__, [chunk_distance(x, y, c) for c in range(CHUNKS)])
+
+
+def first_shared(x: str, y: str) -> Column:
+    """Whether the rows' bucket is the first of those that the signatures share."""
+    own = F.col(f"{x}.slot")
+    chunk = F.floor(own / LANES)
+    here = chunk_distance(x, y, f"CAST({x}.slot DIV {LANES} AS INT)")
+    earlier = [(chunk <= c) | (chunk_distance(x, y, c) > ERRORS) for c in range(CHUNKS - 1)]
+    return reduce(Column.__and__, earlier) & ((here == ERRORS) | (own % LANES == 0))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -151,9 +164,10 @@ def classify(docs: DataFrame) -> DataFrame:
             mask = ~(((1 << BITS) - 1) << (BITS * k)) & 0xFFFFFFFFFFFFFFFF
             mask = mask - (1 << 64) if mask >= 1 << 63 else mask
             keys.append(F.xxhash64(F.lit(c * LANES + k), F.col("signature")[c].bitwiseAND(F.lit(mask))))
-    dealt = nodes.select("node", F.explode(F.array(*keys)).alias("bucket")).repartition("bucket")
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = dealt.join(shared.select("bucket"), "bucket")
+    dealt = nodes.select("node", F.posexplode(F.array(*keys)).alias("slot", "bucket")).repartition("bucket")
+    # One shuffle deals the keys; a bucket is kept when it holds two nodes.
+    whole = Window.partitionBy("bucket")
+    members = dealt.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole)).where("low < high").drop("low", "high")
     members = materialize(members.join(nodes.select("node", "copies", "n_shingles", "signature"), "node"), "members")
 
     def near(x: str, y: str) -> Column:
@@ -164,7 +178,7 @@ def classify(docs: DataFrame) -> DataFrame:
         wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
         return closure.jaccard_links(pairs, sets_of(docs, wanted), PERCENT).distinct()
 
-    labels = closure.classes(members, near, linked)
+    labels = closure.classes(members, near, linked, first_shared)
     named = nodes.select("f1", "f2", "node").join(labels, "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("label"))
     out = signed.drop("signature").join(named, ["f1", "f2"], "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id")))
