@@ -1,19 +1,26 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-Words (lower-cased A-Z, between ASCII white space) are tokens: the most frequent of
-the whole corpus have an id of their own, the others share BUCKETS hashed ids.  Each
-token is masked in turn and predicted from the SIDE tokens on either side:
+Words (lower-cased A-Z, between ASCII white space) are tokens.  Those that occur at
+least sqrt(tokens of the corpus) / RARE times (the OWN most frequent at least) have an
+id of their own; the others share hashed ids, one for 15 own ids, BUCKETS at least.
+Each token is masked in turn and predicted from the SIDE tokens on either side:
 
     h = tanh(b + sum over positions p of E[p][context token at p])
     log P(token) = log softmax(h Wc + bc)[class] + log softmax(h Ww[class] + bw[class])[member]
 
-with two softmax levels of CLASSES x MEMBERS tokens.  A document's score is the sum of
-its tokens' conditional log-probabilities; beyond its ends the context is the pad token.
+with two softmax levels, each of about the square root of the number of ids (CLASSES x
+MEMBERS at least).  A word without its own id has the probability of its shared id times
+its part of the occurrences of that id's words in the corpus, from a table of all word
+counts: every word is scored apart, and the probabilities of all words sum to at most 1.
+A document's score is the sum of its tokens' conditional log-probabilities; beyond its
+ends the context is the pad token.
 
 Training covers every token of every document: the word counts come from all of them,
 and each task trains on its own documents from the same start (Adagrad); parameters are
 averaged by tokens seen, in blocks and in two levels, so that no task gathers more than
-sums.  The driver holds one model (under 1 MB).
+sums.  The driver holds one model; it has about 640 bytes a word with an id, whose
+number follows the square root of the corpus.  Word counts stay a table, joined to the
+documents' words by 64-bit hashes: two words of one hash would count as one.
 
 Defined results: null, empty or white-space text has 0 tokens, log_prob 0 and a null
 perplexity; an empty table gives no rows; repeated rows get the same score.
@@ -21,6 +28,7 @@ perplexity; an empty table gives no rows; repeated rows get the same score.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,20 +39,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import materialize, slices
 
 CLASSES, MEMBERS = 32, 32
 TOKENS = CLASSES * MEMBERS
 BUCKETS = 64
+RARE = 16
 #: Token 0 stands beyond the ends of a document.
 OWN = TOKENS - 1 - BUCKETS
 SIDE, WIDTH = 2, 32
 BATCH, RATE, SEED = 16_384, 0.1, 17
 #: Words remembered by a task, and distinct words counted before they are passed on.
 KEPT_WORDS = 300_000
-SHAPES = {"E": (2 * SIDE, TOKENS, WIDTH), "b": (WIDTH,), "Wc": (WIDTH, CLASSES), "bc": (CLASSES,), "Ww": (CLASSES, WIDTH, MEMBERS), "bw": (CLASSES, MEMBERS)}
-SIZES = {k: int(np.prod(v)) for k, v in SHAPES.items()}
 BLOCK = 1024
+#: Logarithms of counts are added as whole numbers of 1 / FINE, so that repeated rows get equal sums in any order.
+FINE = 2**32
+
+
+def shapes(classes: int, members: int) -> dict[str, tuple[int, ...]]:
+    return {"E": (2 * SIDE, classes * members, WIDTH), "b": (WIDTH,), "Wc": (WIDTH, classes), "bc": (classes,), "Ww": (classes, WIDTH, members), "bw": (classes, members)}
+
+
+SHAPES = shapes(CLASSES, MEMBERS)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -68,8 +84,20 @@ def _counts(seen: Counter[bytes]) -> pa.RecordBatch:
 
 
 def vocabulary(docs: DataFrame) -> list[bytes]:
-    """The OWN most frequent words, ties in byte order."""
-    return [bytes(r.word) for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(OWN).collect()]
+    """The words with an id of their own, most frequent first, ties in byte order."""
+    return frequent(word_counts(docs))
+
+
+def frequent(counts: DataFrame) -> list[bytes]:
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
+    above = counts.where(F.col("n") * RARE >= tokens**0.5).count()
+    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(max(OWN, above)).collect()]
+
+
+def shared_ids(words: list[bytes]) -> tuple[int, int]:
+    """The first id that words share, and how many such ids there are."""
+    own = max(OWN, len(words))
+    return 1 + own, max(BUCKETS, own // 15)
 
 
 class TokenIds(dict):
@@ -78,28 +106,32 @@ class TokenIds(dict):
     def __init__(self, words: list[bytes]):
         super().__init__()
         self.fixed = {w: i + 1 for i, w in enumerate(words)}
+        self.first, self.buckets = shared_ids(words)
         self.update(self.fixed)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > KEPT_WORDS:
+        if len(self) > KEPT_WORDS + len(self.fixed):
             self.clear()
             self.update(self.fixed)
-        i = self[word] = 1 + OWN + zlib.crc32(word) % BUCKETS
+        i = self[word] = self.first + zlib.crc32(word) % self.buckets
         return i
 
     def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int16, len(words))
+        return self.ids_of((text or "").encode().lower().split())
 
+    def ids_of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
-def start() -> dict[str, np.ndarray]:
+
+def start(words: list[bytes] = ()) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    return {k: (rng.normal(0, 0.1, v) if k in ("E", "Wc", "Ww") else np.zeros(v)).astype(np.float32) for k, v in SHAPES.items()}
+    side = max(CLASSES, math.isqrt(sum(shared_ids(words)) - 1) + 1)
+    return {k: (rng.normal(0, 0.1, v) if k in ("E", "Wc", "Ww") else np.zeros(v)).astype(np.float32) for k, v in shapes(side, side).items()}
 
 
 def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Targets, and the context ids of each by position."""
-    pad = np.zeros(SIDE, np.int16)
+    pad = np.zeros(SIDE, np.int32)
     line = np.concatenate([pad, *(x for d in docs for x in (d, pad))])
     real = np.concatenate([np.zeros(SIDE, bool), *(x for d in docs for x in (np.ones(len(d), bool), np.zeros(SIDE, bool)))])
     at = np.flatnonzero(real)
@@ -121,15 +153,16 @@ def _hidden(m: dict, context: np.ndarray) -> np.ndarray:
 def log_probs(m: dict, target: np.ndarray, context: np.ndarray) -> np.ndarray:
     """log P of each target given its window."""
     out = np.empty(len(target))
+    classes, members = m["bw"].shape
     for a in range(0, len(target), BATCH):
         t = target[a : a + BATCH]
         order = np.argsort(t, kind="stable")
         t = t[order]
         h = _hidden(m, context[:, a : a + BATCH][:, order])
-        group, member = t // MEMBERS, t % MEMBERS
+        group, member = t // members, t % members
         p = np.log(np.maximum(_softmax(h @ m["Wc"] + m["bc"])[np.arange(len(t)), group], 1e-30))
-        ends = np.searchsorted(group, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        ends = np.searchsorted(group, np.arange(classes + 1))
+        for c in range(classes):
             i, j = ends[c], ends[c + 1]
             if i < j:
                 own = _softmax(h[i:j] @ m["Ww"][c] + m["bw"][c])
@@ -143,14 +176,15 @@ def train_batch(m: dict, seen: dict, target: np.ndarray, context: np.ndarray) ->
     order = np.argsort(target, kind="stable")
     t, context = target[order], context[:, order]
     n = len(t)
+    classes, members = m["bw"].shape
     h = _hidden(m, context)
-    group, member = t // MEMBERS, t % MEMBERS
+    group, member = t // members, t % members
     dc = _softmax(h @ m["Wc"] + m["bc"])
     dc[np.arange(n), group] -= 1
-    grad = {"Wc": h.T @ dc, "bc": dc.sum(axis=0), "Ww": np.zeros(SHAPES["Ww"], np.float32), "bw": np.zeros(SHAPES["bw"], np.float32)}
+    grad = {"Wc": h.T @ dc, "bc": dc.sum(axis=0), "Ww": np.zeros_like(m["Ww"]), "bw": np.zeros_like(m["bw"])}
     dh = dc @ m["Wc"].T
-    ends = np.searchsorted(group, np.arange(CLASSES + 1))
-    for c in range(CLASSES):
+    ends = np.searchsorted(group, np.arange(classes + 1))
+    for c in range(classes):
         i, j = ends[c], ends[c + 1]
         if i < j:
             dw = _softmax(h[i:j] @ m["Ww"][c] + m["bw"][c])
@@ -159,12 +193,15 @@ def train_batch(m: dict, seen: dict, target: np.ndarray, context: np.ndarray) ->
             dh[i:j] += dw @ m["Ww"][c].T
     dh *= 1 - h * h
     grad["b"] = dh.sum(axis=0)
-    grad["E"] = np.zeros(SHAPES["E"], np.float32)
     for p in range(2 * SIDE):
         by = np.argsort(context[p], kind="stable")
         ids = context[p][by]
         cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        grad["E"][p][ids[cut]] = np.add.reduceat(dh[by], cut, axis=0)
+        # Only the rows of the batch's words have a gradient.
+        g, some = np.add.reduceat(dh[by], cut, axis=0) / n, ids[cut]
+        squares = seen["E"][p][some] + g * g
+        seen["E"][p][some] = squares
+        m["E"][p][some] -= (RATE * g / (np.sqrt(squares) + 1e-8)).astype(np.float32)
     for k, g in grad.items():
         g = g / n
         seen[k] += g * g
@@ -174,7 +211,7 @@ def train_batch(m: dict, seen: dict, target: np.ndarray, context: np.ndarray) ->
 def _batches(batches: Iterator[pa.RecordBatch], ids: TokenIds) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Training batches over all documents of a task, of BATCH tokens but for the last."""
     docs, n = [], 0
-    held_t, held_c = np.empty(0, np.int16), np.empty((2 * SIDE, 0), np.int16)
+    held_t, held_c = np.empty(0, np.int32), np.empty((2 * SIDE, 0), np.int32)
     for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             docs.append(ids.of(text))
@@ -197,11 +234,11 @@ def _pack(m: dict) -> np.ndarray:
     return np.pad(flat, (0, -len(flat) % BLOCK)).reshape(-1, BLOCK)
 
 
-def _unpack(rows: np.ndarray) -> dict[str, np.ndarray]:
-    flat, at, out = rows.ravel(), 0, {}
-    for k, shape in SHAPES.items():
-        out[k] = flat[at : at + SIZES[k]].reshape(shape).astype(np.float32)
-        at += SIZES[k]
+def _unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    at, out = 0, {}
+    for k in SHAPES:
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        at += like[k].size
     return out
 
 
@@ -229,12 +266,12 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
 
 def train(docs: DataFrame, words: list[bytes], rounds: int = 1) -> dict[str, np.ndarray]:
     """Parameters after ``rounds`` passes over all documents."""
-    model = start()
+    model = start(words)
     for _ in range(rounds):
         begin = model
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, seen, n = {k: v.copy() for k, v in begin.items()}, {k: np.zeros(v, np.float32) for k, v in SHAPES.items()}, 0
+            m, seen, n = {k: v.copy() for k, v in begin.items()}, {k: np.zeros_like(v) for k, v in begin.items()}, 0
             for target, context in _batches(batches, TokenIds(words)):
                 if len(target):
                     train_batch(m, seen, target, context)
@@ -245,30 +282,46 @@ def train(docs: DataFrame, words: list[bytes], rounds: int = 1) -> dict[str, np.
         trained = docs.select("text").mapInArrow(run, PIECE)
         # Means of up to 64 tasks first, then of those.
         some = trained.withColumn("part", F.floor(F.col("part") / 64).cast("int")).repartition("block", "part").mapInArrow(_sums, PIECE)
-        rows = some.withColumn("part", F.lit(0)).repartition("block").mapInArrow(_sums, PIECE).orderBy("block").collect()
-        if rows:
-            model = _unpack(np.array([r.value for r in rows], np.float32))
+        rows = some.withColumn("part", F.lit(0)).repartition("block").mapInArrow(_sums, PIECE).orderBy("block").toArrow()
+        if rows.num_rows:
+            model = _unpack(rows["value"].combine_chunks().values.to_numpy(), model)
     return model
 
 
-def score(docs: DataFrame, words: list[bytes], model: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, n_tokens, log_prob and perplexity of every document."""
+def score(docs: DataFrame, words: list[bytes], model: dict[str, np.ndarray], counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_prob and perplexity of every document; ``counts`` are the corpus' word counts, those of docs by default."""
     kind = dict(docs.dtypes)["doc_id"]
+    first, buckets = shared_ids(words)
+    known = docs.sparkSession.createDataFrame([(w,) for w in words], "word binary")
+    counts = (word_counts(docs) if counts is None else counts).join(F.broadcast(known), "word", "left_anti")
+    total = np.ones(buckets)
+    for r in counts.groupBy((F.crc32("word") % buckets).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        total[r.bucket] = r.n
+    log_total = np.concatenate([np.zeros(first), np.log(total)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = TokenIds(words)
         for batch in slices(batches):
-            found = [ids.of(t) for t in batch.column(1).to_pylist()]
+            split = [(t or "").encode().lower().split() for t in batch.column(1).to_pylist()]
+            found = [ids.ids_of(w) for w in split]
             n = np.array([len(f) for f in found], np.int64)
-            got = log_probs(model, *windows(found))
+            targets, context = windows(found)
+            got = log_probs(model, targets, context) - log_total[targets]
             total = np.bincount(np.repeat(np.arange(len(n)), n), got, len(n)) if len(n) else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total)], ["doc_id", "n_tokens", "log_prob"])
-
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double")
+            rare = [[w[i] for i in np.flatnonzero(f >= first).tolist()] for w, f in zip(split, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), pa.array(rare, pa.list_(pa.binary()))], ["doc_id", "n_tokens", "log_prob", "rare"])
+
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, rare array<binary>")
+    # Written once, so that both reads see the same row numbers.
+    scored = materialize(scored.withColumn("rare", F.transform("rare", lambda w: F.xxhash64(w))).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    by_hash = counts.groupBy(F.xxhash64("word").alias("h")).agg(F.round(F.log(F.sum("n")) * FINE).cast("long").alias("log_n"))
+    shares = scored.select("row", F.explode("rare").alias("h")).join(by_hash, "h").groupBy("row").agg(F.sum("log_n").alias("log_n"))
+    out = scored.drop("rare").join(shares, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("log_n", F.lit(0)) / FINE).select("doc_id", "n_tokens", "log_prob")
     return out.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / F.col("n_tokens"))))
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Train on all documents and score all of them."""
-    words = vocabulary(docs)
-    return score(docs, words, train(docs, words))
+    counts = materialize(word_counts(docs), "lm-counts")
+    words = frequent(counts)
+    return score(docs, words, train(docs, words), counts)

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -65,3 +66,32 @@ def test_gradient_step_lowers_the_loss():
 
 def test_empty(spark):
     assert lm.pseudo_likelihood(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_every_word_is_scored_apart(spark):
+    # 40 frequent words and 3000 rare ones, some twice as frequent as others: more than all own and shared ids of a fixed table.
+    rng = random.Random(8)
+    rare = [f"r{i}" for i in range(3000) for _ in range(1 + i % 2)]
+    rng.shuffle(rare)
+    docs = [(i, " ".join(w for r in rare[i * 90 : i * 90 + 90] for w in (f"w{rng.randrange(40)}", r)), "x") for i in range(50)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    words = lm.vocabulary(df)
+    model, shared = lm.train(df, words), lm.shared_ids(words)
+    seen, by_id = Counter(w for _, t, _ in docs for w in t.encode().split()), Counter()
+    for w in seen:
+        if w not in words:
+            by_id[lm.TokenIds(words)[w]] += seen[w]
+    assert len(by_id) == shared[1] and len(seen) > 2 * len(words)
+    for r in lm.score(df, words, model).collect():
+        text = docs[r.doc_id][1].encode().split()
+        apart = sum(math.log(seen[w] / by_id[lm.TokenIds(words)[w]]) for w in text if w not in words)
+        assert r.log_prob == pytest.approx(plain_score(model, words, docs[r.doc_id][1]) + apart, rel=1e-4)
+
+
+def test_the_vocabulary_follows_the_corpus(spark):
+    text = " ".join(f"w{i}" for i in range(2000))
+    some = lm.vocabulary(spark.createDataFrame([(i, text, "x") for i in range(100)], SCHEMA))
+    assert len(some) == 2000
+    model = lm.start(some)
+    assert model["bw"].size == model["E"].shape[1] >= sum(lm.shared_ids(some))
+    assert max(lm.TokenIds(some).of(text + " other words")) < model["bw"].size
