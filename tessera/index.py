@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import exact, graph
+from tessera.operators import graph
 from tessera.sources import tables
 
 
@@ -18,8 +18,7 @@ class VectorIndex:
         self.metric, self.neighbours, self.ef, self.body = metric, neighbours, ef, None
 
     def fit(self, points: DataFrame) -> VectorIndex:
-        near = exact.knn(points, points, self.neighbours, self.metric, self_too=False)
-        edges = graph.with_reverse(near.selectExpr("qid AS src", "id AS dst", "dist"), 2 * self.neighbours)
+        edges = graph.with_reverse(graph.shard_edges(points, self.neighbours, self.metric), 2 * self.neighbours)
         self.body = graph.searchable(points, edges)
         return self
 

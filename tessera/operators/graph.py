@@ -20,6 +20,8 @@ from tessera.functions import vector
 from tessera.operators import exact, kernels, partition, srp
 
 EDGE = "src long, dst long, dist double"
+#: Rows of a search shard.
+SHARD = 2048
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -148,9 +150,9 @@ def rnn_descent(points: DataFrame, k: int = 16, outer: int = 2, inner: int = 3,
     return best_edges(edges, k)
 
 
-def shards(points: DataFrame, size: int = 2048) -> DataFrame:
-    """points with ``shard``: parts of about ``size`` rows by id hash."""
-    n = max(1, -(-points.count() // size))
+def shards(points: DataFrame, size: int | None = None) -> DataFrame:
+    """points with ``shard``: parts of about ``size`` (SHARD) rows by id hash."""
+    n = max(1, -(-points.count() // (size or SHARD)))
     return points.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
 
 
@@ -251,7 +253,18 @@ def search(graph: DataFrame, queries: DataFrame, entries: DataFrame | None, k: i
     return exact.top(found, k)
 
 
-def searchable(points: DataFrame, edges: DataFrame, size: int = 2048) -> DataFrame:
-    """(shard, id, vec, nbrs) for ``search``: points dealt to shards with their neighbours' ids."""
+def shard_edges(points: DataFrame, k: int, metric: str, size: int | None = None) -> DataFrame:
+    """Edges to the k nearest points of a point's own shard: those that ``search`` can walk."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, x = rows["id"].to_numpy(), exact.matrix(rows["vec"].combine_chunks())
+        got = kernels.nearest(ids, x, ids, x, k, metric, False)
+        return pa.table({c: pa.array([g[i] for g in got], t) for i, (c, t) in enumerate((("src", pa.int64()), ("dst", pa.int64()), ("dist", pa.float64())))})
+
+    return shards(points.select("id", "vec"), size).groupBy("shard").applyInArrow(run, EDGE)
+
+
+def searchable(points: DataFrame, edges: DataFrame, size: int | None = None) -> DataFrame:
+    """(shard, id, vec, nbrs) for ``search``: points dealt to shards with their neighbours' ids; edges between shards are not walked, see ``shard_edges``."""
     nbrs = adjacency(edges).select(F.col("src").alias("id"), F.transform("nbrs", lambda e: e["id"]).alias("nbrs"))
     return shards(points.select("id", "vec"), size).join(nbrs, "id", "left")

@@ -480,8 +480,7 @@ def chunk_graph(spark, sf_dir):
 
 def _searchable(spark, sf_dir, metric: str) -> tuple[DataFrame, DataFrame]:
     p = points(spark, sf_dir)
-    near = exact.knn(p, p, 16, metric, self_too=False).select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")
-    return p, graph.searchable(p, graph.with_reverse(near, 24))
+    return p, graph.searchable(p, graph.with_reverse(graph.shard_edges(p, 16, metric), 24))
 
 
 @query()
@@ -514,8 +513,7 @@ def lite_search_entry(spark, sf_dir):
 def lite_search_normfilter(spark, sf_dir):
     """Rows whose norm cannot reach the worst kept score are not measured."""
     p = scaled(spark, sf_dir)
-    near = exact.knn(p, p, 16, "ip", self_too=False).select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")
-    g = graph.searchable(p, graph.with_reverse(near, 24))
+    g = graph.searchable(p, graph.with_reverse(graph.shard_edges(p, 16, "ip"), 24))
     return _ranked(graph.search(g, queries_of(p), None, K, 180, norm_filter=True), "ip")
 
 

@@ -1,12 +1,13 @@
 """Registered queries against their SQL on the smallest tables, and invariants of those without SQL."""
 
 import math
+import random
 
 import duckdb
 import pytest
 
 from tessera.index import VectorIndex
-from tessera.operators import exact, metrics
+from tessera.operators import exact, graph, metrics
 from tessera.plans import catalog
 from tessera.plans.data import points, queries_of, scaled
 
@@ -44,6 +45,18 @@ def test_searches_reach_their_recall(spark):
     assert _share(spark, catalog.lite_search_normfilter(spark, DIR), "ip", s) >= 0.5
 
 
+def test_searches_reach_their_recall_over_many_shards(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(3000)]
+    p = graph.saved(spark.createDataFrame([(i, [c / math.hypot(*v) for c in v]) for i, v in rows], "id long, vec array<double>"))
+    monkeypatch.setattr(graph, "SHARD", 250)
+    monkeypatch.setattr(catalog, "points", lambda *_: p)
+    assert graph.shards(p).select("shard").distinct().count() >= 10
+    for name, metric in (("graph_search_ip", "ip"), ("graph_search_l2", "l2sqr")):
+        assert _share(spark, catalog.QUERIES[name](spark, DIR), metric, p) >= 0.9, name
+    assert _share(spark, VectorIndex().fit(p).search(queries_of(p)), "l2sqr", p) >= 0.9
+
+
 def test_built_graphs(spark):
     p = points(spark, DIR)
     truth = exact.knn(p, p, 10, "l2sqr", self_too=False)
