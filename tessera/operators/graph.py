@@ -20,8 +20,10 @@ from tessera.functions import vector
 from tessera.operators import exact, kernels, partition, srp
 
 EDGE = "src long, dst long, dist double"
-#: Rows of a search shard.
-SHARD = 2048
+#: Rows of a search shard, and of a part of a random order.
+SHARD, PART = 2048, 1024
+#: Splits by pivots at most before a part that is still too large is dealt by hash.
+SPLITS = 60
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -68,14 +70,13 @@ def measured(pairs: DataFrame, points: DataFrame, metric: str) -> DataFrame:
 
 
 def random_edges(points: DataFrame, degree: int, seed: int, metric: str) -> DataFrame:
-    """Each node with ``degree`` nodes that are next to it in seeded hash orders."""
-    n = max(2, points.count())
-    placed = points.select("id").withColumn("at", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(max(1, n // 1024)))).orderBy(F.xxhash64(F.lit(seed), "id"), "id")) - 1)
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, n // 1024))))
-    sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
-    left = placed.join(sizes, "part").select("part", F.col("id").alias("src"), "at", "size", F.explode(F.sequence(F.lit(1), F.lit(degree))).alias("d"))
-    left = left.withColumn("at", F.pmod(F.col("at") + F.col("d"), F.col("size"))).select("part", "src", "at")
-    pairs = left.join(placed.select("part", "at", F.col("id").alias("dst")), ["part", "at"]).where("src <> dst").select("src", "dst").distinct()
+    """Each node with ``degree`` nodes: the next one in as many seeded hash orders of the table, each dealt anew into parts of about PART rows."""
+    n = max(1, points.count() // PART)
+    dealt = points.select("id", F.explode(F.sequence(F.lit(1), F.lit(degree))).alias("d"))
+    dealt = dealt.withColumn("h", F.xxhash64(F.lit(seed), "d", "id")).withColumn("part", F.pmod(F.xxhash64("h", "d"), F.lit(n)))
+    order = Window.partitionBy("d", "part").orderBy("h", "id")
+    first = F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    pairs = dealt.select(F.col("id").alias("src"), F.coalesce(F.lead("id").over(order), first).alias("dst")).where("src <> dst").distinct()
     return measured(pairs, points, metric)
 
 
@@ -156,14 +157,35 @@ def shards(points: DataFrame, size: int | None = None) -> DataFrame:
     return points.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
 
 
+def split_by_pivots(dealt: DataFrame, size: int, seed: int) -> DataFrame:
+    """(id, vec, tree) with ``part``: each tree split by two random pivots of a part, over all points, until a part has at most ``size`` rows.
+
+    Points as near to one pivot as to the other are dealt by hash, so copies split too.
+    """
+    rows = dealt.withColumn("part", F.lit(0).cast("long"))
+    for level in range(SPLITS):
+        drawn = F.struct(F.xxhash64(F.lit(seed), F.lit(level), "tree", "id").alias("h"), "id", "vec")
+        large = rows.groupBy("tree", "part").agg(F.count("*").alias("n"), F.min(drawn).alias("a"), F.max(drawn).alias("b")).where(F.col("n") > size)
+        large = saved(large.select("tree", "part", F.col("a.vec").alias("a"), F.col("b.vec").alias("b")))
+        if large.isEmpty():
+            return rows
+        near, far = vector.METRICS["l2sqr"]("vec", "a"), vector.METRICS["l2sqr"]("vec", "b")
+        coin = F.pmod(F.xxhash64(F.lit(level), "tree", "id"), F.lit(2))
+        side = F.when(near < far, 0).when(near > far, 1).otherwise(coin)
+        halves = rows.join(large, ["tree", "part"], "left")
+        rows = saved(halves.select("id", "vec", "tree", F.when(F.col("a").isNull(), F.col("part")).otherwise(F.col("part") * 2 + 1 + side).alias("part")))
+    sizes = rows.groupBy("tree", "part").agg(F.count("*").alias("n"))
+    dealt = rows.join(sizes, ["tree", "part"]).withColumn("some", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / size)))
+    return dealt.select("id", "vec", "tree", F.when(F.col("n") > size, F.xxhash64("part", "some").bitwiseAND(F.lit(2**62 - 1).cast("long"))).otherwise(F.col("part")).alias("part"))
+
+
 def mst_graph(points: DataFrame, trees: int = 4, leaf: int = 100, degree: int = 3, metric: str = "l2sqr", seed: int = 7, size: int = 4096) -> DataFrame:
     """Union over ``trees`` random trees of the degree-capped spanning forests of their leaves.
 
-    Each tree deals the points anew into parts of about ``size`` rows, which are split by
-    random pivots into leaves; a part is one group of bounded size.
+    Each tree splits all points by random pivots: as joins until a part has at most
+    ``size`` rows, then within the part, which is one group of bounded size.
     """
-    n = max(1, -(-points.count() // size))
-    dealt = points.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.lit(n)))
+    dealt = split_by_pivots(points.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")), size, seed)
 
     def run(key, rows):
         order = np.argsort(rows["id"].to_numpy(), kind="stable")

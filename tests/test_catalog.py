@@ -75,3 +75,36 @@ def test_index_facade(spark, tmp_path):
     again = VectorIndex().load(spark, str(tmp_path))
     assert _share(spark, again.search(queries_of(p)), "l2sqr", p) >= 0.9
     assert again.neighbours_of(spark.createDataFrame([(3,)], "id long")).first().nbrs
+
+
+def test_graphs_link_points_of_different_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    p = graph.saved(spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(1500)], "id long, vec array<double>"))
+    monkeypatch.setattr(graph, "PART", 75, raising=False)
+    truth = {(r.qid, r.id): r["rank"] for r in exact.knn(p, p, 10, "l2sqr", self_too=False).collect()}
+    found = {(r.src, r.dst) for r in graph.nn_descent(p, 10).collect()}
+    assert len(found & set(truth)) >= 0.9 * len(truth)
+    forest = {(r.src, r.dst) for r in graph.mst_graph(p, leaf=30, size=75).collect()}
+    assert {(b, a) for a, b in forest} == forest
+    assert sum(e in forest for e, rank in truth.items() if rank == 1) >= 0.6 * 1500
+
+
+def test_copies_split_into_bounded_parts(spark):
+    p = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(400)], "id long, vec array<double>").selectExpr("id", "vec", "0 AS tree")
+    parts = graph.split_by_pivots(p, 50, 7).groupBy("part").count().collect()
+    assert sum(r["count"] for r in parts) == 400 and max(r["count"] for r in parts) <= 50
+
+
+def test_random_edges_connect_the_whole_table(spark):
+    n = 3 * 1024
+    p = graph.saved(spark.createDataFrame([(i, [float(i)]) for i in range(n)], "id long, vec array<double>"))
+    component = list(range(n))
+
+    def root(x):
+        while component[x] != x:
+            x = component[x]
+        return x
+
+    for r in graph.random_edges(p, 12, 3, "l2sqr").collect():
+        component[root(r.src)] = root(r.dst)
+    assert len({root(i) for i in range(n)}) == 1
