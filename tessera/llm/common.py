@@ -26,15 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder below spark.checkpoint.dir, as a URI all executors can open.
 
-    Where that setting is unset (tests), a folder of this machine is set as the
-    checkpoint folder and used.
+    Where that setting is unset, below the session's checkpoint folder; where there is
+    none either, a local master (tests) gets a folder of this machine, a cluster an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-            base = spark.sparkContext.getCheckpointDir()
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + os.path.abspath(base)
     if base.startswith("file:/") and not base.startswith("file://"):
@@ -49,6 +49,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, size):
@@ -72,9 +80,3 @@ def finished_file(uri: str):
 def make_dir(uri: str) -> None:
     where, path = open_fs(uri)
     where.create_dir(path, recursive=True)
-
-
-def words_column(text):
-    """Lower-cased words (A-Z only) of a text column; null gives an empty array."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
-    return F.array_remove(F.split(lower, " +"), "")
