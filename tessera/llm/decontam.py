@@ -1,19 +1,26 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-Words are the lower-cased runs between ASCII white space.  A seed is the hash of the
-words that a fixed MASK selects from SPAN consecutive ones; it ignores the others, so
-a hit survives substitutions there.  An item shorter than SPAN has one seed, all its
-words.  Where a document's seed equals an item's, the WINDOW words of the item around
-the hit (the whole of a shorter item) are compared with the document's words on the
-same diagonal; the overlap counts when PERCENT of the window's words agree.
-
-The seeds of the benchmark are broadcast in blocks of at most BLOCK_SEEDS rows, each
-joined with all documents: the size of a block does not depend on the tables.  Nothing
-of a document is shuffled but its confirmed overlaps.
+Words are the lower-cased runs between ASCII white space.  An overlap is a window of an
+item (WINDOW consecutive words; the whole of a shorter item) of which PERCENT of the
+words stand in a document at the same places; a window may reach over the document's
+ends, where no word agrees.  An item of fewer than WHOLE words must occur whole.
+
+A seed is the hash of the words that a fixed mask selects; it ignores the words between.
+The masks are lossless: however the allowed substitutions fall, one mask finds a place
+in the window that avoids them all (LONG: three in 15 words or more; MIDDLE: two in ten
+or more; the tests enumerate all cases).  All windows around a hit are compared, so
+every overlap is found.
+
+A document's positions are tested against a bitmap of the items' word pairs, with which
+all masks begin, and then against one of their seeds; the bitmaps have about 32 bits a
+seed and BITS at most, and let no hit go.  Only what passes is joined with the seeds,
+with up to 31 words around it: one pass over the documents for any benchmark, and time
+linear in a document's length.  At most BLOCK_SEEDS seeds are broadcast, more are
+joined by a shuffle of both sides.
 
 Defined results: null and empty texts and items hit nothing; a repeated row of either
-table adds nothing; a null doc_id is reported as null and kept by ``without``; an
-empty table on either side gives no overlaps.
+table adds nothing, a repeated id stands for all its texts; a null doc_id is reported as
+null and kept by ``without``; an empty table on either side gives no overlaps.
 """
 
 from __future__ import annotations
@@ -23,59 +30,111 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Word positions that a seed reads.
-MASKS = ((0, 1, 3, 4, 6, 8, 9, 10), (0, 2, 3, 5, 6, 7, 9, 10), (0, 1, 2, 4, 5, 7, 8, 10))
-SPAN = 11
-WINDOW, LEAD, PERCENT = 16, 3, 80
+from tessera.llm.common import materialize
+
+#: Word positions that a seed reads; all begin with the pair (0, 1).
+LONG = ((0, 1, 2, 3, 5, 6), (0, 1, 4, 8, 9, 10), (0, 1, 3, 5, 6, 10))
+MIDDLE = ((0, 1, 2, 4, 5), (0, 1, 4, 6, 7), (0, 1, 3, 6, 7))
+WINDOW, PERCENT = 16, 80
+#: Items of LEAST words or more have LONG seeds, of WHOLE or more MIDDLE ones, others one seed of all words.
+LEAST, WHOLE = 15, 10
 BLOCK_SEEDS = 100_000
+#: Largest size of a bitmap (2 MB).
+BITS = 1 << 24
 
 
 def hashed_words(text: Column) -> Column:
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def masks_for(n: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(tag, mask) of the seeds of an item of n words."""
+    if n >= LEAST:
+        return list(enumerate(LONG))
+    if n >= WHOLE:
+        return [(len(LONG) + k, mask) for k, mask in enumerate(MIDDLE)]
+    return [(-n, tuple(range(n)))]
+
 
+def _seed(tag: int, mask: tuple[int, ...], at: Column) -> Column:
+    """The hash of what the mask reads from word ``at`` of ``h`` on; null where it reaches over the end."""
+    return F.when(at + mask[-1] < F.size("h"), F.xxhash64(F.lit(tag), *[F.get(F.col("h"), at + o) for o in mask]))
 
-def _seeds(h: str, lengths: list[int]) -> Column:
-    """Seeds of every start, mask after mask, then those of whole short items of the given lengths."""
-    def starting(tag: int, span: int, mask) -> Column:
-        own = lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(tag), *[F.get(F.col(h), i + o) for o in mask]).alias("seed"))
-        return F.when(F.size(h) >= span, F.transform(F.sequence(F.lit(0), F.size(h) - span), own))
 
-    parts = [starting(k, SPAN, mask) for k, mask in enumerate(MASKS)] + [starting(-n, n, range(n)) for n in lengths]
-    none = F.expr("CAST(array() AS array<struct<at:int,seed:bigint>>)")
-    return F.concat(*[F.coalesce(p, none) for p in parts])
+def _pair(at: Column, single: bool = False) -> Column:
+    first = F.get(F.col("h"), at)
+    return first if single else first.bitwiseXOR(F.shiftrightunsigned(F.get(F.col("h"), at + 1), 7))
 
 
 def item_seeds(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(seed, item_id, lead, words): lead is the number of window words before the hit; and the lengths of short items."""
-    items = benchmark.select("item_id", hashed_words(F.col("text")).alias("h")).where(F.size("h") > 0).distinct()
-    n = F.size("h")
-    lengths = sorted(r.n for r in items.where(n < SPAN).select(n.alias("n")).distinct().collect())
-    long = items.where(n >= SPAN).select("item_id", "h", F.explode(_seeds("h", [])).alias("s"))
-    start = F.greatest(F.lit(0), F.least(F.col("s.at") - LEAD, n - WINDOW))
-    long = long.select(F.col("s.seed").alias("seed"), "item_id", (F.col("s.at") - start).alias("lead"), F.slice("h", start + 1, F.least(F.lit(WINDOW), n)).alias("words"))
-    out = [long]
-    for k in lengths:
-        whole = F.xxhash64(F.lit(-k), *[F.get(F.col("h"), F.lit(o)) for o in range(k)])
-        out.append(items.where(n == k).select(whole.alias("seed"), "item_id", F.lit(0).alias("lead"), F.col("h").alias("words")))
-    return reduce(DataFrame.union, out).distinct(), lengths
+    """(seed, pair, item_id, n, at, lead, words): a row per seed, with the item's words around it, of which ``lead`` stand before; and one length for each kind of item."""
+    items = benchmark.select("item_id", hashed_words(F.col("text")).alias("h")).where(F.size("h") > 0).distinct().withColumn("n", F.size("h"))
+    kind = F.when(F.col("n") >= LEAST, LEAST).when(F.col("n") >= WHOLE, WHOLE).otherwise(F.col("n"))
+    kinds = sorted(r.kind for r in items.select(kind.alias("kind")).distinct().collect())
+    out = []
+    for k in kinds:
+        for tag, mask in masks_for(k):
+            last = F.lit(0) if k < WHOLE else F.col("n") - 1 - mask[-1]
+            placed = items.where(kind == k).withColumn("at", F.explode(F.sequence(F.lit(0), last)))
+            start = F.greatest(F.lit(0), F.col("at") + 1 - WINDOW)
+            words = F.slice("h", start + 1, F.least(F.col("n"), F.col("at") + WINDOW) - start)
+            out.append(placed.select(_seed(tag, mask, F.col("at")).alias("seed"), _pair(F.col("at"), k == 1).alias("pair"), "item_id", "n", "at", (F.col("at") - start).alias("lead"), words.alias("words")))
+    empty = items.select(F.lit(0).cast("long").alias("seed"), F.lit(0).cast("long").alias("pair"), "item_id", "n", F.lit(0).alias("at"), F.lit(0).alias("lead"), F.col("h").alias("words")).limit(0)
+    return reduce(DataFrame.union, out, empty), kinds
+
+
+def bitmap(keys: DataFrame, bits: int) -> Column:
+    """All keys (one long column) as one array of 64-bit words, by a scalar subquery."""
+    slot = F.col(keys.columns[0]).bitwiseAND(F.lit(bits - 1))
+    parts = keys.select(F.shiftright(slot, 6).alias("place"), slot.bitwiseAND(F.lit(63)).cast("int").alias("s"))
+    words = parts.groupBy("place").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("word"))
+    every = keys.sparkSession.range(bits // 64).withColumnRenamed("id", "place").join(words, "place", "left").select("place", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("words")).scalar()
+
+
+def _held(bits: Column, key: Column, size: int) -> Column:
+    slot = key.bitwiseAND(F.lit(size - 1))
+    return F.get(bits, F.shiftright(slot, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))) != 0
+
+
+def hits(docs: DataFrame, seeds: DataFrame, kinds: list[int]) -> DataFrame:
+    """doc_id, at (word), seed, lead and near (the words around it) of all positions whose seed may be one of the items'."""
+    n = seeds.count()
+    size = min(BITS, max(1 << 12, 1 << (32 * n - 1).bit_length()))
+    pairs, known = bitmap(seeds.select("pair"), size), bitmap(seeds.select("seed"), size)
+    at = F.col("at")
+    placed = docs.select("doc_id", hashed_words(F.col("text")).alias("h")).select("doc_id", "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("at"))
+    begins = _held(pairs, _pair(at), size)
+    if 1 in kinds:
+        begins = begins | _held(pairs, _pair(at, True), size)
+    own = [_seed(tag, mask, at) for k in kinds for tag, mask in masks_for(k)]
+    placed = placed.where(F.coalesce(begins, F.lit(False))).where(reduce(Column.__or__, [F.coalesce(_held(known, s, size), F.lit(False)) for s in own]))
+    start = F.greatest(F.lit(0), at + 1 - WINDOW)
+    near = F.slice("h", start + 1, at + WINDOW - start)
+    found = placed.select("doc_id", "at", (at - start).alias("lead"), near.alias("near"), F.explode(F.array(*own)).alias("seed"))
+    return found.where(F.col("seed").isNotNull())
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched (most agreeing words of a window), window (its words), first_word (where the first such window starts)."""
-    seeds, lengths = item_seeds(benchmark)
-    blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))
-    hashed = docs.select("doc_id", hashed_words(F.col("text")).alias("h"))
-    started = hashed.select("doc_id", "h", F.explode(_seeds("h", lengths)).alias("s"))
-    found = []
-    for b in range(blocks):
-        block = seeds.where(F.pmod(F.xxhash64("seed", "item_id", "lead"), F.lit(blocks)) == b) if blocks > 1 else seeds
-        hit = started.join(F.broadcast(block), F.col("s.seed") == F.col("seed"))
-        first = F.col("s.at") - F.col("lead")
-        same = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get(F.col("h"), F.col("s.at") - F.col("lead") + i) == F.get(F.col("words"), i))
-        found.append(hit.select("doc_id", "item_id", F.size(same).alias("matched"), F.size("words").alias("window"), first.alias("first_word")).where(F.col("matched") * 100 >= F.col("window") * PERCENT))
-    every = reduce(DataFrame.union, found)
-    return every.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("window").cast("long").alias("window"), F.min("first_word").cast("long").alias("first_word"))
+    seeds, kinds = item_seeds(benchmark)
+    seeds = materialize(seeds, "seeds")
+    docs = docs.where(F.length("text") > 0)
+    if not kinds:
+        return seeds.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", *[F.lit(0).cast("long").alias(c) for c in ("matched", "window", "first_word")]).limit(0)
+    theirs = seeds.select("seed", "item_id", "n", F.col("at").alias("item_at"), F.col("lead").alias("item_lead"), "words")
+    hit = hits(docs, seeds, kinds).join(F.broadcast(theirs) if seeds.count() <= BLOCK_SEEDS else theirs, "seed")
+    shift = F.col("lead") - F.col("item_lead")
+    hit = hit.withColumn("same", F.transform("words", lambda w, j: F.coalesce((F.get(F.col("near"), j + shift) == w).cast("int"), F.lit(0))))
+    # Windows by their first word, counted from the first of ``words``.
+    size = F.least(F.lit(WINDOW), "n")
+    starts = F.sequence(F.lit(0), F.size("words") - size)
+    matched = F.transform(starts, lambda s: F.struct(F.aggregate(F.slice("same", s + 1, size), F.lit(0), lambda a, x: a + x).alias("matched"), s.alias("start")))
+    good = F.filter(matched, lambda m: m["matched"] * 100 >= size * PERCENT)
+    best = hit.select("doc_id", "item_id", "at", "item_lead", size.alias("size"), F.explode(good).alias("m"))
+    first = F.col("at") - F.col("item_lead") + F.col("m.start")
+    return best.groupBy("doc_id", "item_id").agg(F.max("m.matched").cast("long").alias("matched"), F.max("size").cast("long").alias("window"), F.min(first).cast("long").alias("first_word"))
 
 
 def without(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -101,28 +101,21 @@ SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id,
        w.doc_id <= coalesce(m.t, w.doc_id) AS kept
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.d = w.doc_id
 """,
+    # Every window that counts has three equal words in a row; a shorter item is one run.
     "op6_decontamination": r"""
-WITH m AS (SELECT * FROM (VALUES (0, [0, 1, 3, 4, 6, 8, 9, 10]), (1, [0, 2, 3, 5, 6, 7, 9, 10]), (2, [0, 1, 2, 4, 5, 7, 8, 10])) AS t(k, mask)),
-d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS v FROM benchmark),
-ds AS (SELECT doc_id, w, unnest(range(0, len(w) - 10)) AS p FROM d WHERE len(w) >= 11),
-bs AS (SELECT item_id, v, unnest(range(0, len(v) - 10)) AS q FROM b WHERE len(v) >= 11),
-dk AS (SELECT doc_id, p, k, array_to_string(list_transform(mask, lambda o: w[p + o + 1]), ' ') AS key FROM ds CROSS JOIN m),
-bk AS (SELECT item_id, q, len(v) AS n, k, array_to_string(list_transform(mask, lambda o: v[q + o + 1]), ' ') AS key FROM bs CROSS JOIN m),
-hl AS (
-  SELECT DISTINCT doc_id, item_id, greatest(0, least(q - 3, n - 16)) AS lo, least(16, n) AS size, p - q + greatest(0, least(q - 3, n - 16)) AS first
-  FROM dk JOIN bk USING (k, key)),
-sd AS (SELECT doc_id, unnest(range(0, len(w) - n + 1)) AS p, w, n FROM d JOIN (SELECT DISTINCT len(v) AS n FROM b WHERE len(v) BETWEEN 1 AND 10) s ON len(w) >= n),
-hs AS (
-  SELECT DISTINCT doc_id, item_id, 0 AS lo, n AS size, p AS first
-  FROM sd JOIN b ON len(v) = n AND array_to_string(w[p + 1:p + n], ' ') = array_to_string(v, ' ')),
-h AS (SELECT * FROM hl UNION SELECT * FROM hs),
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+b AS (
+  SELECT DISTINCT item_id, v, len(v) AS n, CASE WHEN len(v) >= 10 THEN 3 ELSE len(v) END AS run
+  FROM (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS v FROM benchmark) WHERE len(v) > 0),
+bg AS (SELECT item_id, v, n, run, q, array_to_string(v[q + 1:q + run], ' ') AS g FROM (SELECT *, unnest(range(0, n - run + 1)) AS q FROM b)),
+dg AS (SELECT doc_id, w, run, p, array_to_string(w[p + 1:p + run], ' ') AS g FROM (SELECT doc_id, w, run, unnest(range(0, len(w) - run + 1)) AS p FROM d, (SELECT DISTINCT run FROM b) WHERE len(w) >= run)),
+h AS (SELECT DISTINCT doc_id, w, item_id, v, n, p - q AS shift FROM dg JOIN bg USING (run, g)),
+s AS (SELECT doc_id, item_id, n, shift, list_transform(range(0, n), lambda q: CASE WHEN shift + q >= 0 AND shift + q < len(w) AND w[shift + q + 1] = v[q + 1] THEN 1 ELSE 0 END) AS same FROM h),
 c AS (
-  SELECT h.doc_id, h.item_id, h.size, h.first,
-         len(list_filter(range(0, h.size), lambda i: h.first + i >= 0 AND h.first + i < len(d.w) AND d.w[h.first + i + 1] = b.v[h.lo + i + 1])) AS matched
-  FROM h JOIN d ON d.doc_id = h.doc_id JOIN b ON b.item_id = h.item_id)
+  SELECT doc_id, item_id, n, least(16, n) AS size, shift + lo AS first, list_sum(same[lo + 1:lo + least(16, n)]) AS matched
+  FROM (SELECT *, unnest(range(0, n - least(16, n) + 1)) AS lo FROM s))
 SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched, CAST(max(size) AS BIGINT) AS "window", CAST(min(first) AS BIGINT) AS first_word
-FROM c WHERE matched * 100 >= size * 80 GROUP BY doc_id, item_id
+FROM c WHERE CASE WHEN n >= 10 THEN matched * 100 >= size * 80 ELSE matched = n END GROUP BY doc_id, item_id
 """,
     "op8_line_dedup": r"""
 WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
