@@ -1,24 +1,34 @@
 """Classes of linked nodes from bucket membership, without all pairs of a bucket.
 
-Two nodes are candidates when they share a bucket.  First every node is compared with
-its buckets' pivot (the node that stands for most copies), then, ``random_rounds`` times,
-with a random pivot of each bucket; links found are closed into classes.  At last only
-nodes of different classes that share a bucket are compared, so a large group of
-copies, one class by then, makes no pairs.  Every candidate pair is thus tested or
-joined by tested links: the classes are those of all links.
+Two nodes are candidates when they share a bucket.  In rounds every node is compared with
+pivots of its buckets, and the links found are closed into classes.  The first round
+takes its pivots from the shuffle that deals the buckets: each node meets the pivot of
+most of its buckets, then the pairs of buckets of two that still differ are compared, and
+these buckets are done.  In the second round a bucket's pivot is its node that shares
+buckets with most others, such as the text all copies were made from; later it is any
+node, and a node meets MEET of its buckets' pivots at most, the others wait.  The rounds
+go on while the buckets hold more pairs of different classes than PAIRS a row and a round
+closes LESS of them; then the pairs left are compared on their sets within the join,
+which gives out links only.  A large group of copies, one class by then, makes no pairs.
+Every candidate pair is thus tested or joined by tested links: the classes are those of
+all links.  Where a bucket holds many nodes without links, its pairs are tested.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import drop, materialize
 
-#: Bits of the fixed-size filter that goes before a fetch by key (2 MB).
-FILTER_BITS = 24
+#: Pairs a row of a bucket that may be compared at last, and rounds at most.
+PAIRS, LESS, ROUNDS = 2, 0.3, 3
+#: Pivots a node is compared with in a later round.
+MEET = 16
+#: Pairs whose nodes' sets are picked by a broadcast before they are joined.
+FEW = 200_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,72 +41,114 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, "node").select("node", "label", F.least("label", "m").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
         out = lower.join(jump, "to", "left").select("node", F.least("to", "further").alias("label"), (F.least("to", "further") < F.col("label")).alias("moved"))
-        out = materialize(out, "labels")
+        before, out = labels, materialize(out, "labels")
         labels = out.select("node", "label")
         if not out.where("moved").limit(1).count():
+            drop(both, before)
             return labels
 
 
-def maybe_in(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
-    """The rows whose key may be among the keys of ``wanted`` (one long column, each row once or often).
+def shared(rows: DataFrame) -> DataFrame:
+    """Distinct rows (bucket, node, ...) of buckets that hold two nodes or more, with n, the number of nodes, and p, the row of the bucket's last node.
 
-    A bitmap of 2**FILTER_BITS bits, in 4 KB pieces, is broadcast: its size does not
-    depend on the data.  Some other rows get through; the exact join comes after.
+    One shuffle by bucket.  The nodes are hashes or numbers without a meaning, so the last one is any.
     """
-    name = wanted.columns[0]
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    pieces = wanted.select(slot(F.col(name)).alias("s")).groupBy(F.shiftrightunsigned("s", 15).alias("piece")).agg(F.expr("bitmap_construct_agg(s & 32767)").alias("bits"))
-    at = rows.withColumn("slot_", slot(key)).withColumn("piece", F.shiftrightunsigned("slot_", 15))
-    byte = F.conv(F.hex(F.expr("substring(bits, CAST((slot_ & 32767) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    hit = at.join(F.broadcast(pieces), "piece").where(F.getbit(byte, (F.col("slot_") % 8).cast("int")) == 1)
-    return hit.select(*rows.columns)
-
-
-def classes(members: DataFrame, near: Callable[[str, str], Column], linked: Callable[[DataFrame], DataFrame], once: Callable[[str, str], Column] | None = None, random_rounds: int = 2) -> DataFrame:
-    """(node, label) of the nodes that have a link.
-
-    ``members`` has bucket, node (long), copies and what ``near(x, y)`` reads of two
-    rows under these aliases: whether the pair can be a link at all.  ``once`` may pick
-    one of the buckets that a pair shares.  ``linked`` keeps the links of pairs (a, b),
-    a < b.
+    whole = Window.partitionBy("bucket")
+    own = [c for c in rows.columns if c != "bucket"]
+    dealt = rows.repartition("bucket").withColumn("low", F.min("node").over(whole)).withColumn("p", F.max(F.struct("node", *own[1:])).over(whole))
+    some = dealt.where(F.col("low") < F.col("p.node")).drop("low").dropDuplicates(["bucket", "node"])
+    return materialize(some.withColumn("n", F.count("*").over(whole)), "shared")
+
+
+def classes(rows: DataFrame, sets: DataFrame, percent: int, near: Callable[[str, str], Column], close: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, more: DataFrame | None = None, names: DataFrame | None = None, near_last: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """(node, label) of the nodes that have a link: Jaccard of ``percent`` or more of their ``sets`` (node, items).
+
+    ``rows`` is what ``shared`` gave.  ``near(x, y)`` tells from two rows under these
+    aliases whether the pair can be a link at all, ``close`` picks such pairs (a, b) by
+    other means.  ``near_last`` does both for rows with the columns of ``names`` (node,
+    ...).  ``more`` has links (a, b) that are known.
     """
-    same = F.col("x.bucket") == F.col("y.bucket")
-    now, labels, tested = members.withColumn("label", F.col("node")), None, None
-    for turn in range(1 + random_rounds):
-        # The pivot: first the node of most copies, then another one of each bucket.
-        first = F.col("copies") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
-        at_pivot = now.groupBy("bucket").agg(F.max_by("node", first).alias("pivot"))
-        pivots = now.join(at_pivot, "bucket").where("node = pivot").drop("pivot")
-        star = now.alias("x").join(pivots.alias("y"), same & (F.col("x.label") != F.col("y.label")) & near("x", "y"))
-        pairs = _pairs(star)
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = _merged(labels, materialize(linked(pairs), "links"))
-        # Buckets in which two classes or more are left.
-        now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        left = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        now = materialize(now.join(left, "bucket"), "open")
-    others = now.alias("x").join(now.alias("y"), same & (F.col("x.label") < F.col("y.label")) & (once("x", "y") if once else F.lit(True)) & near("x", "y"))
-    rest = materialize(_pairs(others).join(tested, ["a", "b"], "left_anti"), "pairs")
-    return _merged(labels, materialize(linked(rest), "links"))
-
-
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    if labels is None:
-        return components(links)
-    if not links.limit(1).count():
+    linked = lambda pairs: jaccard_links(close(pairs), sets, percent)
+    own = [c for c in rows.columns if c not in ("bucket", "n", "p")]
+    star = rows.alias("x").where(F.col("x.node") != F.col("x.p.node")).where(near("x", "x.p"))
+    met = materialize(_met(star, F.max(F.col("n") == 2).alias("two")), "pairs")
+    tested = materialize(_chosen(met, 1), "pairs")
+    labels = components(_with(materialize(linked(tested), "links"), more))
+    mine = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    two = met.where("two").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti").join(mine("a"), "a", "left").join(mine("b"), "b", "left")
+    two = materialize(two.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "pairs")
+    labels = _merged(labels, linked(two))
+    tested = tested.union(two)
+    now = rows.where("n > 2").select("bucket", "n", *own)
+    rows_left = now.count()
+    now = now.join(now.groupBy("node").agg(F.sum("n").alias("weight")), "node").drop("n")
+    before = None
+    for turn in range(1, ROUNDS):
+        now, left = _open(now, labels, own, turn)
+        if not left:
+            return labels
+        if left <= PAIRS * rows_left or before is not None and left > (1 - LESS) * before or turn == ROUNDS - 1:
+            break
+        before = left
+        star = now.alias("x").where(F.col("x.label") != F.col("x.p.label")).where(near("x", "x.p"))
+        pairs = materialize(_chosen(_met(star).join(tested, ["a", "b"], "left_anti"), MEET), "pairs")
+        tested = tested.union(pairs)
+        labels = _merged(labels, linked(pairs))
+        now = now.drop("label", "p")
+    now = now.drop("p", "weight").join(sets, "node")
+    now = now if names is None else now.join(names, "node")
+    differ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label"))
+    links = now.alias("x").join(now.alias("y"), differ & (near_last or near)("x", "y") & alike("x.items", "y.items", percent))
+    return _merged(labels, links.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+
+
+def _met(star: DataFrame, *more: Column) -> DataFrame:
+    """node, a, b, and the number of buckets in which the node meets this pivot."""
+    met = star.groupBy(F.col("x.node").alias("node"), F.col("x.p.node").alias("other")).agg(F.count("*").alias("n"), *more)
+    return met.withColumns({"a": F.least("node", "other"), "b": F.greatest("node", "other")}).drop("other")
+
+
+def _chosen(met: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b) of each node with ``most`` pivots at most, those of most buckets."""
+    order = Window.partitionBy("node").orderBy(F.desc("n"), F.xxhash64("a", "b"))
+    return met.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).select("a", "b").distinct()
+
+
+def _with(links: DataFrame, more: DataFrame | None) -> DataFrame:
+    return links if more is None else links.union(more)
+
+
+def _open(now: DataFrame, labels: DataFrame, own: list[str], turn: int) -> tuple[DataFrame, float]:
+    """The rows, with label and pivot, of buckets in which two classes or more are left; and the pairs of different classes in them."""
+    now = now.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # Each bucket draws for itself, but for the round in which the weight decides.
+    weight, lot = (F.col("weight"), F.xxhash64("node")) if turn == 1 else (F.lit(0), F.xxhash64(F.lit(turn), "node", "bucket"))
+    first = F.max(F.struct(weight.alias("w"), lot.alias("h"), "label", *own))
+    per = now.groupBy("bucket", "label").agg(F.count("*").cast("double").alias("n"), first.alias("p"))
+    per = per.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.max("p").alias("p"))
+    left = materialize(per.where("classes > 1").select("bucket", "p", ((F.col("n") * F.col("n") - F.col("n2")) / 2).alias("pairs")), "open-buckets")
+    pairs = left.agg(F.sum("pairs")).first()[0] or 0
+    return (materialize(now.join(left.select("bucket", "p"), "bucket"), "open") if pairs else now), pairs
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    links = materialize(links, "links")
+    if links.isEmpty():
         return labels
     return components(links.union(labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))))
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+def alike(x: str, y: str, percent: int) -> Column:
+    """Whether two sets have 100 * intersection >= percent * union."""
+    m, n, same = F.size(x), F.size(y), F.size(F.array_intersect(x, y))
+    return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (100 * same >= percent * (m + n - same))
 
 
 def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets (node, items: distinct values) have 100 * intersection >= percent * union."""
+    """The pairs whose sets (node, items: distinct values) are alike."""
+    if pairs.count() <= FEW:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = sets.join(F.broadcast(nodes), "node", "left_semi")
     x = sets.select(F.col("node").alias("b"), F.col("items").alias("right"))
     y = sets.select(F.col("node").alias("a"), F.col("items").alias("left"))
-    both = pairs.join(x, "b").join(y, "a")
-    same = F.size(F.array_intersect("left", "right"))
-    return both.where(100 * same >= percent * (F.size("left") + F.size("right") - same)).select("a", "b")
+    return pairs.join(x, "b").join(y, "a").where(alike("left", "right", percent)).select("a", "b")

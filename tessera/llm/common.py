@@ -10,13 +10,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of the shingle operators: everything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents handled together by a Python kernel.
 SLICE = 128
+#: Largest size of a bitmap (8 MB).
+BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +51,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Remove a table that ``materialize`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and nothing reads any more, and let Spark find the shuffles behind them."""
+    spark = tables[0].sparkSession
+    for folder in {f.rpartition("/")[0] for df in tables for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    # Shuffle files are removed when the driver's collector finds their plans unused.
+    spark._jvm.System.gc()
 
 
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -80,3 +84,25 @@ def finished_file(uri: str):
 def make_dir(uri: str) -> None:
     where, path = open_fs(uri)
     where.create_dir(path, recursive=True)
+
+
+class Bitmap:
+    """A filter that lets all keys through and few others: about 32 bits a key, ``most`` bits at most.
+
+    The keys are one long column whose low bits are spread evenly (hashes).  The words of
+    the bitmap are one array, read by a scalar subquery.
+    """
+
+    def __init__(self, keys: DataFrame, most: int = BITS):
+        self.bits = min(most, max(1 << 12, 1 << (32 * keys.count() - 1).bit_length()))
+        slot = F.col(keys.columns[0]).bitwiseAND(F.lit(self.bits - 1))
+        parts = keys.select(F.shiftright(slot, 6).alias("place"), slot.bitwiseAND(F.lit(63)).cast("int").alias("s"))
+        some = parts.groupBy("place").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("word"))
+        every = keys.sparkSession.range(self.bits // 64).withColumnRenamed("id", "place").join(some, "place", "left")
+        words = F.array_sort(F.collect_list(F.struct("place", F.coalesce("word", F.lit(0).cast("long")).alias("word"))))
+        self.words = every.agg(F.transform(words, lambda x: x["word"]).alias("words")).scalar()
+
+    def __call__(self, key: Column) -> Column:
+        slot = key.bitwiseAND(F.lit(self.bits - 1))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+        return F.coalesce(F.get(self.words, F.shiftright(slot, 6).cast("int")).bitwiseAND(bit) != 0, F.lit(False))

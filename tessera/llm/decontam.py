@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import Bitmap, materialize
 
 #: Word positions that a seed reads; all begin with the pair (0, 1).
 LONG = ((0, 1, 2, 3, 5, 6), (0, 1, 4, 8, 9, 10), (0, 1, 3, 5, 6, 10))
@@ -84,32 +84,17 @@ def item_seeds(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     return reduce(DataFrame.union, out, empty), kinds
 
 
-def bitmap(keys: DataFrame, bits: int) -> Column:
-    """All keys (one long column) as one array of 64-bit words, by a scalar subquery."""
-    slot = F.col(keys.columns[0]).bitwiseAND(F.lit(bits - 1))
-    parts = keys.select(F.shiftright(slot, 6).alias("place"), slot.bitwiseAND(F.lit(63)).cast("int").alias("s"))
-    words = parts.groupBy("place").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("word"))
-    every = keys.sparkSession.range(bits // 64).withColumnRenamed("id", "place").join(words, "place", "left").select("place", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("words")).scalar()
-
-
-def _held(bits: Column, key: Column, size: int) -> Column:
-    slot = key.bitwiseAND(F.lit(size - 1))
-    return F.get(bits, F.shiftright(slot, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))) != 0
-
-
 def hits(docs: DataFrame, seeds: DataFrame, kinds: list[int]) -> DataFrame:
     """doc_id, at (word), seed, lead and near (the words around it) of all positions whose seed may be one of the items'."""
-    n = seeds.count()
-    size = min(BITS, max(1 << 12, 1 << (32 * n - 1).bit_length()))
-    pairs, known = bitmap(seeds.select("pair"), size), bitmap(seeds.select("seed"), size)
+    pairs, known = Bitmap(seeds.select("pair"), BITS), Bitmap(seeds.select("seed"), BITS)
     at = F.col("at")
-    placed = docs.select("doc_id", hashed_words(F.col("text")).alias("h")).select("doc_id", "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("at"))
-    begins = _held(pairs, _pair(at), size)
+    # Without ``outer`` Spark would test the array's size before, and compute the words twice.
+    placed = docs.select("doc_id", hashed_words(F.col("text")).alias("h")).select("doc_id", "h", F.explode_outer(F.sequence(F.lit(0), F.size("h") - 1)).alias("at"))
+    begins = pairs(_pair(at))
     if 1 in kinds:
-        begins = begins | _held(pairs, _pair(at, True), size)
+        begins = begins | pairs(_pair(at, True))
     own = [_seed(tag, mask, at) for k in kinds for tag, mask in masks_for(k)]
-    placed = placed.where(F.coalesce(begins, F.lit(False))).where(reduce(Column.__or__, [F.coalesce(_held(known, s, size), F.lit(False)) for s in own]))
+    placed = placed.where(begins).where(reduce(Column.__or__, [known(s) for s in own]))
     start = F.greatest(F.lit(0), at + 1 - WINDOW)
     near = F.slice("h", start + 1, at + WINDOW - start)
     found = placed.select("doc_id", "at", (at - start).alias("lead"), near.alias("near"), F.explode(F.array(*own)).alias("seed"))

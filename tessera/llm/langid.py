@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import closure
-from tessera.llm.common import materialize, slices
+from tessera.llm.common import Bitmap, materialize, slices
 
 FEATURES = 8192
 CENTROIDS = 4
@@ -136,7 +135,8 @@ def fit(docs: DataFrame, learn: Column) -> Model:
     for keys in (("lang", "part"), ("lang",)):
         chosen = chosen.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("at") <= SAMPLE)
     chosen = materialize(chosen.select("doc_id", "lang").distinct(), "langid-sample")
-    texts = closure.maybe_in(rows, F.col("doc_id"), chosen.select("doc_id")).join(chosen, ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
+    wanted = Bitmap(chosen.select(F.xxhash64("doc_id").alias("h")))
+    texts = rows.where(wanted(F.xxhash64("doc_id"))).join(chosen, ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
 
     def cluster(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")

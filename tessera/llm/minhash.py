@@ -5,16 +5,17 @@ one 64-bit integer.  Two signatures that differ in at most LIMIT positions have,
 pigeonhole, a chunk with at most ERRORS = LIMIT // CHUNKS differing positions.  Every
 allowed error of a chunk is enumerated: a bucket for each choice of ERRORS positions to
 pass over, keyed by the other positions.  So all pairs within LIMIT share a bucket; a
-pair of similarity 0.75 differs in 20 positions of 80 on average and exceeds 39 with a
-probability of about one in a million, one that is more alike far more rarely.
+pair of similarity 0.75 differs in 24 positions of 96 on average and exceeds 47 with a
+probability of 1.2e-7, one that is more alike far more rarely.
 
 Candidates within LIMIT are confirmed on their full shingle sets and closed into
-classes (see ``closure``).  Documents with equal sets are one node from the start.
+classes (see ``closure``).  Documents with equal sets (by a 128-bit fingerprint) are one
+node from the start; the sets of nodes that share a bucket are computed once more.
 
 Defined results: a document without words or text has an empty set and is linked with
-nothing; fewer than five words are one shingle; a repeated row is an exact copy and a
-repeated doc_id with other text is another node of the same document's class; documents
-without id are classed by the smallest id they reach, or null.
+nothing; fewer than five words are one shingle; a repeated row is an exact copy; the
+texts of a repeated doc_id are one document, whose links are those of all of them;
+documents without id are classed by the smallest id they reach, or null.
 """
 
 from __future__ import annotations
@@ -26,18 +27,20 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import closure
-from tessera.llm.common import materialize, slices
+from tessera.llm.common import Bitmap, drop, materialize, slices
 
 WORDS, PERCENT = 5, 75
-BITS, LANES, CHUNKS = 16, 4, 20
+BITS, LANES, CHUNKS = 16, 4, 24
 POSITIONS = LANES * CHUNKS
 ERRORS = 1
 #: Largest distance that the chunks guarantee.
 LIMIT = (ERRORS + 1) * CHUNKS - 1
+#: Room for the number of a key.
+SLOTS = 256
 KEPT_WORDS = 250_000
 
 
@@ -95,21 +98,32 @@ def signature(items: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """Two longs for each set."""
+    return np.array([divmod(xxhash.xxh128_intdigest(s.tobytes()), 1 << 64) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, f1 and f2 (a 128-bit fingerprint of the set) and signature of every document."""
+    """doc_id, n_shingles, f1 and f2 (a 128-bit fingerprint of the set) and signature of every document; r1 and r2 name its id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            prints = np.array([divmod(xxhash.xxh128_intdigest(s.tobytes()), 1 << 64) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            prints = fingerprints(sets)
             signs = np.concatenate([signature(s) if len(s) else np.zeros(CHUNKS, np.int64) for s in sets]) if sets else np.empty(0, np.int64)
             ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * CHUNKS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.ListArray.from_arrays(ends, pa.array(signs))],
-                ["doc_id", "n_shingles", "f1", "f2", "signature"],
+                [batch.column(0), batch.column(2), batch.column(3), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.ListArray.from_arrays(ends, pa.array(signs))],
+                ["doc_id", "r1", "r2", "n_shingles", "f1", "f2", "signature"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, signature array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_row_name())
+    return rows.mapInArrow(run, "doc_id long, r1 long, r2 long, n_shingles long, f1 long, f2 long, signature array<long>")
+
+
+def _row_name() -> list[Column]:
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))
+    return [F.xxhash64(*own).alias("r1"), F.xxhash64(F.lit(1), *own).alias("r2")]
 
 
 def _differing(v: Column) -> Column:
@@ -130,62 +144,90 @@ def differing(x: str, y: str) -> Column:
 
 def first_shared(x: str, y: str) -> Column:
     """Whether the rows' bucket is the first of those that the signatures share."""
-    own = F.col(f"{x}.slot")
+    own = F.expr(f"CAST({x}.size % {SLOTS} AS INT)")
     chunk = F.floor(own / LANES)
-    here = chunk_distance(x, y, f"CAST({x}.slot DIV {LANES} AS INT)")
     earlier = [(chunk <= c) | (chunk_distance(x, y, c) > ERRORS) for c in range(CHUNKS - 1)]
+    here = chunk_distance(x, y, f"CAST({x}.size % {SLOTS} DIV {LANES} AS INT)")
     return reduce(Column.__and__, earlier) & ((here == ERRORS) | (own % LANES == 0))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, items) of the documents whose ids are in ``wanted`` (node)."""
+def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, items) of the nodes (node, f1, f2, doc_id: one that has the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t) for t in batch.column(0).to_pylist()]
+            prints = fingerprints(sets)
             ends = pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))], ["node", "items"])
+            items = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(prints[:, 0]), pa.array(prints[:, 1]), items], ["f1", "f2", "items"])
 
-    some = closure.maybe_in(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), F.col("node"), wanted)
-    # Texts of a repeated id are all tried.
-    return some.join(wanted, "node", "left_semi").mapInArrow(run, "node long, items array<long>")
+    # Null ids have a hash too, so that documents without id are found.
+    name = F.xxhash64(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
+    wanted = materialize(nodes.select(name.alias("name")).distinct(), "wanted")
+    some = docs.select(name.alias("name"), "text").where(Bitmap(wanted)(F.col("name"))).join(wanted, "name", "left_semi")
+    found = some.select("text").mapInArrow(run, "f1 long, f2 long, items array<long>")
+    return materialize(found.join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).dropDuplicates(["node"]).select("node", "items"), "sets")
 
 
-def classify(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """What ``signatures`` gives, without them, with ``label``: a number for each class of linked documents with words."""
     signed = materialize(signatures(docs), "signatures")
-    # Equal sets are one node, named by the smallest doc_id; partial sums make a hot set small.
-    nodes = signed.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    own = signed.where("doc_id IS NOT NULL AND n_shingles > 0").select("f1", "f2", F.col("doc_id").alias("node"), "n_shingles", "signature")
-    nodes = materialize(nodes.where("node IS NOT NULL").join(own, ["f1", "f2", "node"]).dropDuplicates(["node"]), "nodes")
+    # Equal sets are one node; partial sums make a hot set small.
+    some = signed.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    nodes = materialize(some.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = []
     for c in range(CHUNKS):
         for k in range(LANES):
             mask = ~(((1 << BITS) - 1) << (BITS * k)) & 0xFFFFFFFFFFFFFFFF
             mask = mask - (1 << 64) if mask >= 1 << 63 else mask
             keys.append(F.xxhash64(F.lit(c * LANES + k), F.col("signature")[c].bitwiseAND(F.lit(mask))))
-    dealt = nodes.select("node", F.posexplode(F.array(*keys)).alias("slot", "bucket")).repartition("bucket")
-    # One shuffle deals the keys; a bucket is kept when it holds two nodes.
-    whole = Window.partitionBy("bucket")
-    members = dealt.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole)).where("low < high").drop("low", "high")
-    members = materialize(members.join(nodes.select("node", "copies", "n_shingles", "signature"), "node"), "members")
-
-    def near(x: str, y: str) -> Column:
-        a, b = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-        return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & (differing(x, y) <= LIMIT)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-        return closure.jaccard_links(pairs, sets_of(docs, wanted), PERCENT).distinct()
-
-    labels = closure.classes(members, near, linked, first_shared)
-    named = nodes.select("f1", "f2", "node").join(labels, "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("label"))
-    out = signed.drop("signature").join(named, ["f1", "f2"], "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id")))
+    # The number of shingles and the place of the bucket among the keys in one long.
+    dealt = nodes.select("node", F.col("n_shingles").alias("n_"), F.posexplode(F.array(*keys)).alias("slot", "bucket"))
+    rows = closure.shared(dealt.select("bucket", "node", (F.col("n_") * SLOTS + F.col("slot")).alias("size")))
+    met = materialize(rows.select("node").distinct(), "met")
+    short = materialize(nodes.join(met, "node", "left_semi").select("node", "f1", "f2", "doc_id", "signature"), "met-nodes")
+    sets = sets_of(docs, short)
+
+    def sizes(x: str, y: str) -> Column:
+        a, b = (F.expr(f"{r}.size DIV {SLOTS}") for r in (x, y))
+        return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+    def close(pairs: DataFrame) -> DataFrame:
+        x, y = (short.select(F.col("node").alias(c), F.struct("signature").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+        return materialize(pairs.join(x, "a").join(y, "b").where(differing("x", "y") <= LIMIT).select("a", "b"), "close")
+
+    def once(x: str, y: str) -> Column:
+        return sizes(x, y) & (differing(x, y) <= LIMIT) & first_shared(x, y)
+
+    # The texts of one id are one document.
+    named = signed.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "f1", "f2").join(nodes.select("f1", "f2", "node"), ["f1", "f2"])
+    same_id = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
+    more = materialize(named.join(same_id, "doc_id").where("node > a").select("a", F.col("node").alias("b")).distinct(), "same-id")
+    labels = closure.classes(rows, sets, PERCENT, sizes, close, more, short.select("node", "signature"), once)
+    label = nodes.join(labels, "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("label"))
+    out = materialize(signed.drop("signature").join(label, ["f1", "f2"], "left"), "labelled")
+    drop(signed, rows, met, short, sets)
+    return out
+
+
+def classify(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    rows = _labelled(docs)
+    least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
+    out = rows.join(least, "label", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, with all columns, without those whose class keeps another one."""
-    gone = classify(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of docs, with all columns, of each class: that of the smallest doc_id, then of any one text of it; documents without words stay."""
+    rows = _labelled(docs)
+    name = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "r1", "r2")
+    kept = rows.groupBy("label").agg(F.min(name).alias("kept"))
+    gone = rows.where("label IS NOT NULL").join(kept, "label").where(name != F.col("kept")).select("r1", "r2")
+    twice = rows.where("label IS NOT NULL").groupBy("r1", "r2").count().where("count > 1").select("r1", "r2")
+    named = docs.withColumns({"r1_": _row_name()[0], "r2_": _row_name()[1]})
+    out = named.join(gone.distinct().select(F.col("r1").alias("r1_"), F.col("r2").alias("r2_")), ["r1_", "r2_"], "left_anti")
+    if not twice.isEmpty():
+        out = out.dropDuplicates(["r1_", "r2_"])
+    return out.select(*docs.columns)

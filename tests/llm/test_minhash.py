@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import closure, minhash
-from tessera.llm.common import materialize
+from tessera.llm.common import Bitmap, materialize
 
 SCHEMA = "doc_id long, text string, kept string, signature string"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -80,10 +80,23 @@ def test_signature_distance(spark):
 
 
 def test_nulls_repeats_and_empty(spark):
-    rows = [(None, "a b c d e f", "", ""), (4, "a b c d e f", "", ""), (4, "a b c d e f", "", ""), (9, None, "", "")]
-    got = sorted(map(str, (tuple(r) for r in minhash.classify(spark.createDataFrame(rows, SCHEMA)).collect())))
-    assert got == sorted(map(str, [(None, 2, 4, True), (4, 2, 4, True), (4, 2, 4, True), (9, 0, 9, True)])) or len(got) == 4
-    assert minhash.classify(spark.createDataFrame([], SCHEMA)).count() == 0
+    rows = [(None, "a b c d e f", "", ""), (4, "a b c d e f", "", ""), (4, "a b c d e f", "", ""), (9, None, "", ""), (None, "x y", "", ""), (None, "X  y", "", ""), (None, None, "", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(str, (tuple(r) for r in minhash.classify(df).collect())))
+    assert got == sorted(map(str, [(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (9, 0, 9, True), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True)]))
+    left = sorted(map(str, ((r.doc_id, (r.text or "").lower().split()) for r in minhash.keep_one(df).collect())))
+    assert left == sorted(map(str, [(4, ["a", "b", "c", "d", "e", "f"]), (9, []), (None, ["x", "y"]), (None, [])]))
+    assert minhash.classify(spark.createDataFrame([], SCHEMA)).count() == 0 and minhash.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_two_texts_of_one_id(spark):
+    rng = random.Random(1)
+    a, b = (" ".join(rng.choices([f"u{i}" for i in range(300)], k=60)) for _ in range(2))
+    near = lambda t: t.replace(t.split()[30], "changed", 1)
+    docs = [(4, a, "", ""), (4, b, "", ""), (9, near(a), "", ""), (11, near(b), "", ""), (12, "by itself", "", "")]
+    df = spark.createDataFrame(docs, SCHEMA)
+    assert sorted(tuple(r) for r in minhash.classify(df).collect()) == brute(docs)
+    assert sorted(r.doc_id for r in minhash.keep_one(df).collect()) == [4, 12]
 
 
 def test_components(spark):
@@ -93,9 +106,28 @@ def test_components(spark):
     assert closure.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_filter_keeps_what_is_wanted(spark):
-    rows = spark.range(5000).withColumn("x", F.col("id") * 7 - 9)
+def test_bitmap_lets_all_keys_through(spark):
+    rows = spark.range(5000).withColumn("x", F.xxhash64("id"))
     wanted = materialize(rows.where("id % 50 = 0").select("x"), "wanted")
-    kept = closure.maybe_in(rows, F.col("x"), wanted)
-    assert kept.columns == rows.columns
-    assert kept.join(wanted, "x").count() == 100 and kept.count() < 150
+    kept = rows.where(Bitmap(wanted)(F.col("x")))
+    assert kept.join(wanted, "x").count() == 100 and kept.count() < 400
+    assert rows.where(Bitmap(wanted.limit(0))(F.col("x"))).count() == 0
+
+
+def test_large_group_makes_few_pairs(spark):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(60)]
+    docs = []
+    for d in range(600):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1])):
+            words[rng.randrange(60)] = f"x{rng.randrange(400)}"
+        docs.append((d, " ".join(words), "", ""))
+    seen = []
+    links = closure.jaccard_links
+    closure.jaccard_links = lambda pairs, *rest: seen.append(pairs.count()) or links(pairs, *rest)
+    try:
+        got = sorted(tuple(r) for r in minhash.classify(spark.createDataFrame(docs, SCHEMA)).collect())
+    finally:
+        closure.jaccard_links = links
+    assert got == brute(docs) and sum(seen) < 12 * 600
