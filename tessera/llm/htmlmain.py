@@ -10,7 +10,8 @@ The network is trained in numpy on pages that ``synthetic_page`` composes, with
 labels, from a fixed seed: a bounded set that does not depend on the data.
 
 Defined results: null, empty or text-free html gives the empty text; unclosed and stray
-tags are closed as browsers do; scripts, styles, templates, comments and the head never
+tags are closed as browsers do; memory is linear in a page's text and time in its length;
+scripts, styles, templates, comments and the head never
 are text; repeated rows give equal results; an empty table gives no rows.
 """
 
@@ -46,6 +47,8 @@ PATHS, WORDS, MEASURES = 160, 48, 8
 INPUT = PATHS + WORDS + MEASURES
 HIDDEN = 20
 PAGES, EPOCHS, BATCH, RATE, SEED = 700, 16, 64, 0.015, 23
+#: Elements kept of either end of a tag path, names of an element, padded blocks of a batch, and blocks of a long page read at once.
+DEPTH, NAMES, ROOM, SPAN = 16, 16, 8192, 4096
 
 
 class Block:
@@ -62,10 +65,11 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
     path: tuple[str, ...] = ()
-    linked, links, at, n = 0, 0, 0, len(page)
+    linked, links, at, n, spoken = 0, 0, 0, len(page), False
 
     def flush() -> None:
-        nonlocal pieces, linked
+        nonlocal pieces, linked, spoken
+        spoken = False
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
@@ -73,11 +77,15 @@ def blocks(page: str | None) -> list[Block]:
             pieces, linked = [], 0
 
     def say(raw: str) -> None:
-        nonlocal path, linked
+        nonlocal path, linked, spoken
         text = entities.unescape(raw) if "&" in raw else raw
         if text:
-            if not pieces or (text.strip() and not "".join(pieces).strip()):
-                path = tuple(name for _, names in stack for name in names)
+            starts = not spoken and bool(text.strip())
+            if not pieces or starts:
+                # The outermost and the innermost elements: a path is of bounded length however deep a page nests.
+                near = stack if len(stack) <= 2 * DEPTH else stack[:DEPTH] + stack[-DEPTH:]
+                path = tuple(name for _, names in near for name in names[:NAMES])
+            spoken = spoken or starts
             pieces.append(text)
             if links:
                 linked += len(text)
@@ -156,11 +164,13 @@ class _Buckets(dict):
 _path_buckets, _word_buckets = _Buckets(PATHS), _Buckets(WORDS)
 
 
-def features(page: list[Block]) -> np.ndarray:
-    out = np.zeros((len(page), INPUT), np.float32)
+def features(page: list[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Vectors of the blocks from ``start`` to ``stop``."""
     n = len(page)
-    for i, b in enumerate(page):
-        row = out[i]
+    some = page[start:stop]
+    out = np.zeros((len(some), INPUT), np.float32)
+    for i, b in enumerate(some, start):
+        row = out[i - start]
         for depth, name in enumerate(reversed(b.path)):
             k = _path_buckets[name]
             row[k] = max(row[k], 1.0 if depth < 3 else 0.7)
@@ -246,8 +256,8 @@ def gradients(w: dict, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[
     return float(loss), grad
 
 
-def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    steps = max(map(len, pages))
+def _padded(pages: list[np.ndarray], steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    steps = steps or max(map(len, pages))
     x, mask = np.zeros((steps, len(pages), INPUT), np.float32), np.zeros((steps, len(pages)), np.float32)
     for k, p in enumerate(pages):
         x[: len(p), k], mask[: len(p), k] = p, 1
@@ -287,16 +297,51 @@ def network() -> dict[str, np.ndarray]:
     return w
 
 
+def _forward(w: dict, d: str, x: np.ndarray, mask: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_pass``, from a given state and without what only training needs; returns the states out, h and c."""
+    steps = len(mask)
+    out = np.empty((steps, *h.shape), np.float32)
+    drive = x @ w[f"x{d}"] + w[f"c{d}"]
+    for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+        z = drive[t] + h @ w[f"h{d}"]
+        gates = _sigmoid(z[:, : 3 * HIDDEN])
+        i, f, o = (gates[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+        c2 = f * c + i * np.tanh(z[:, 3 * HIDDEN :])
+        m = mask[t][:, None]
+        h, c = m * (o * np.tanh(c2)) + (1 - m) * h, m * c2 + (1 - m) * c
+        out[t] = h
+    return out, h, c
+
+
+def _scores(w: dict, pages: list[list[Block]]) -> np.ndarray:
+    """Logits (block, page), in spans of SPAN blocks: the backward states of a span's beginning are kept, not its vectors."""
+    steps, n = max(map(len, pages)), len(pages)
+    zero = np.zeros((n, HIDDEN), np.float32)
+    z = np.full((steps, n), w["oc"][0], np.float32)
+
+    def read(a: int) -> tuple[np.ndarray, np.ndarray]:
+        return _padded([features(p, a, min(a + SPAN, len(p))) for p in pages], min(SPAN, steps - a))
+
+    h, c = zero, zero
+    for a in range(0, steps, SPAN):
+        out, h, c = _forward(w, "f", *read(a), h, c)
+        z[a : a + SPAN] += out @ w["o"][:HIDDEN]
+    h, c = zero, zero
+    for a in reversed(range(0, steps, SPAN)):
+        out, h, c = _forward(w, "b", *read(a), h, c)
+        z[a : a + SPAN] += out @ w["o"][HIDDEN:]
+    return z
+
+
 def label(w: dict, pages: list[list[Block]]) -> list[list[bool]]:
-    """Whether each block is article text; pages of like length run together."""
-    order = sorted(range(len(pages)), key=lambda k: len(pages[k]))
+    """Whether each block is article text; pages of like length run together, ROOM padded blocks or one page at a time."""
+    order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
     out: list[list[bool]] = [[] for _ in pages]
-    while order and not pages[order[0]]:
-        order.pop(0)
-    for a in range(0, len(order), BATCH):
-        some = order[a : a + BATCH]
-        x, mask = _padded([features(pages[k]) for k in some])
-        z = _logits(w, x, mask)[0]
+    while order:
+        some: list[int] = []
+        while order and len(some) < BATCH and (not some or len(pages[order[0]]) * (len(some) + 1) <= ROOM):
+            some.append(order.pop(0))
+        z = _scores(w, [pages[k] for k in some])
         for j, k in enumerate(some):
             out[k] = (z[: len(pages[k]), j] > 0).tolist()
     return out
