@@ -29,8 +29,8 @@ from tessera.llm.common import materialize
 
 #: Points of a leaf, of a shard, queries of a block, and blocks for each copy of a shard.
 LEAF, SHARD, BLOCK, LANE = 128, 8192, 512, 8
-#: Room for rounding in the comparison of distances.
-SLACK = 1e-9
+#: Room for rounding in the comparison of distances: sqrt(2 - 2 x.y) is off by up to about 3e-8 near zero.
+SLACK = 1e-7
 RESULT = "query_id long, vec_id long, score double"
 
 

@@ -38,7 +38,7 @@ from tessera.llm.bpe import byte_symbols
 from tessera.llm.common import finished_file, make_dir, materialize, open_fs, shared_dir, slices
 
 MAGIC = b"TKZDICT1"
-#: Dictionary bytes, and the documents it is trained on: those of smallest id hash with at most so many characters.
+#: Dictionary bytes, and what it is trained on: so many documents of smallest id hash, and characters of each at most.
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 32_768, 400, 16_384
 LEVEL = 3
 KEPT_WORDS = 250_000
@@ -111,20 +111,28 @@ def encoder(path: str) -> LibraryEncoder:
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int) -> bytes:
-    """A dictionary from a bounded sample (SAMPLE_DOCS short documents by id hash); empty when there is too little text."""
+    """A dictionary from a bounded sample (SAMPLE_DOCS documents by id hash, SAMPLE_CHARS characters of each at most).
+
+    Too little text for the trainer gives a dictionary of the sampled ids themselves (raw
+    content), and no text at all one of the end id: an archive always has a dictionary.
+    """
     hashed = docs.withColumn("h", F.xxhash64("doc_id"))
+
+    def sample(rows: DataFrame) -> list[str]:
+        some = rows.where(F.length("text") > 0).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "h", F.xxhash64("text").alias("g"))
+        return [r.text for r in some.orderBy("h", "g").limit(SAMPLE_DOCS).collect()]
+
+    # Only ids are ordered, unless the first of them have hardly any text.
     least = [r.h for r in hashed.select("h").orderBy("h").limit(2 * SAMPLE_DOCS).collect()]
-    short = hashed.where(F.col("h") <= (least[-1] if least else 0)).where(F.length("text").between(1, SAMPLE_CHARS)).select("text", "h", F.xxhash64("text").alias("g"))
-    texts = [r.text for r in short.orderBy("h", "g").limit(SAMPLE_DOCS).collect()]
+    texts = sample(hashed.where(F.col("h") <= (least[-1] if least else 0)))
+    if len(texts) < SAMPLE_DOCS // 2:
+        texts = sample(hashed)
     own = encoder(vocabulary)
     end = np.uint32(end_id).tobytes()
     samples = [own.encode(t) + end for t in texts]
-    if len(samples) < 16 or sum(map(len, samples)) < 8 * DICTIONARY_BYTES // 4:
-        return b""
-    try:
+    if len(samples) >= 16 and sum(map(len, samples)) >= 2 * DICTIONARY_BYTES:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    return (b"".join(samples) or end)[:DICTIONARY_BYTES]
 
 
 def _dict(data: bytes) -> zstandard.ZstdCompressionDict | None:
