@@ -3,8 +3,8 @@
 A text is a vector of hashed letter bigrams and trigrams, log term frequency times
 IDF, of length one.  Each language has CENTROIDS centres from spherical k-means over
 a bounded sample (SAMPLE training documents by id hash); the IDF counts cover all
-training documents.  The nearest centre by cosine names the language; a text further
-than REJECT_BELOW allows is rejected.
+training documents.  The nearest centre by cosine names the language; a text much
+further from it than the language's own sample is rejected (SHARE, LOW).
 
 Defined results: ``und`` with score 0 and rejected for a null text, a text without a
 letter, or when nothing could be learned; ties go to the smaller language name; rows
@@ -30,8 +30,9 @@ CENTROIDS = 4
 #: Training documents per language that the centres are fitted on; counts cover all.
 SAMPLE = 400
 ROUNDS = 12
-#: Cosine below which a text belongs to no learned language.
-REJECT_BELOW = 0.03
+#: A text is rejected below SHARE of the LOW quantile of its language's sample (cosine with the nearest centre);
+#: a text of fewer than MANY distinct n-grams below less, as the root of their number.
+SHARE, LOW, MANY = 0.35, 0.02, 200
 UNKNOWN = "und"
 
 
@@ -97,8 +98,8 @@ def held_out(doc_id: Column) -> Column:
 class Model:
     """Centres and their languages, in the order of the names."""
 
-    def __init__(self, names: list[str], rows: np.ndarray, idf: np.ndarray):
-        self.names, self.rows, self.idf = names, rows, idf
+    def __init__(self, names: list[str], rows: np.ndarray, idf: np.ndarray, bounds: np.ndarray):
+        self.names, self.rows, self.idf, self.bounds = names, rows, idf, bounds
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         found = counts(texts)
@@ -107,8 +108,9 @@ class Model:
         near = vectors(found, self.idf) @ self.rows.T
         best = near.argmax(axis=1)
         score = np.clip(near[np.arange(len(texts)), best].astype(float), 0, 1)
-        some = found.any(axis=1)
-        return [(self.names[b], s, bool(s < REJECT_BELOW)) if x else (UNKNOWN, 0.0, True) for b, s, x in zip(best, score.tolist(), some, strict=True)]
+        grams = (found > 0).sum(axis=1)
+        bound = SHARE * self.bounds[best] * np.sqrt(np.minimum(grams / MANY, 1))
+        return [(self.names[b], s, bool(s < low)) if n else (UNKNOWN, 0.0, True) for b, s, low, n in zip(best, score.tolist(), bound, grams, strict=True)]
 
 
 def fit(docs: DataFrame, learn: Column) -> Model:
@@ -142,12 +144,14 @@ def fit(docs: DataFrame, learn: Column) -> Model:
         part = part.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
         found = np.concatenate([counts(part["text"].iloc[i : i + 64].tolist()) for i in range(0, len(part), 64)])
         found = found[found.any(axis=1)]
-        out = centres(vectors(found, idf)) if len(found) else np.empty((0, FEATURES))
-        return pd.DataFrame({"lang": part["lang"].iloc[0], "centre": [r.tolist() for r in out]}, columns=["lang", "centre"])
+        x = vectors(found, idf)
+        out = centres(x) if len(found) else np.empty((0, FEATURES))
+        low = float(np.quantile((x @ out.T).max(axis=1), LOW)) if len(found) else 0.0
+        return pd.DataFrame({"lang": part["lang"].iloc[0], "centre": [r.tolist() for r in out], "low": low}, columns=["lang", "centre", "low"])
 
-    got = texts.groupBy("lang").applyInPandas(cluster, "lang string, centre array<float>").collect()
+    got = texts.groupBy("lang").applyInPandas(cluster, "lang string, centre array<float>, low double").collect()
     got = sorted(got, key=lambda r: r.lang)
-    return Model([r.lang for r in got], np.array([r.centre for r in got], np.float32).reshape(len(got), FEATURES), idf)
+    return Model([r.lang for r in got], np.array([r.centre for r in got], np.float32).reshape(len(got), FEATURES), idf, np.array([r.low for r in got]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

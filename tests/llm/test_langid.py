@@ -78,6 +78,16 @@ def test_far_text_is_rejected_and_kept_rows_are_whole(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(range(240))
 
 
+def test_random_and_foreign_text_of_the_same_script_is_rejected(spark):
+    model = langid.fit(spark.createDataFrame(corpus(), SCHEMA), F.lit(True))
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    foreign = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. "
+    for text in (letters(300), letters(3000), "".join(rng.choices("0123456789abcdef ", k=2000)), foreign * 3):
+        assert model.predict([text])[0][2], text[:40]
+    assert not any(model.predict([t])[0][2] for _, t, _, _ in corpus())
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert langid.identify(df).count() == 0
