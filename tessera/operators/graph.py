@@ -7,7 +7,6 @@ its tasks and not the lineage.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vector
 from tessera.operators import exact, kernels, partition, srp
+from tessera.operators.lineage import saved
 
 EDGE = "src long, dst long, dist double"
 #: Rows of a search shard, and of a part of a random order.
@@ -26,14 +26,6 @@ SHARD, PART = 2048, 1024
 SPLITS = 60
 
 
-def saved(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
-
-
 def best_edges(edges: DataFrame, k: int) -> DataFrame:
     """The k nearest distinct neighbours of each node."""
     once = edges.where("src <> dst").groupBy("src", "dst").agg(F.min("dist").alias("dist"))

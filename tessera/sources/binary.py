@@ -5,20 +5,22 @@
 
 Layouts (little-endian):
 
-    fbin      uint32 n, dim; then n x dim float32.
+    fbin      uint32 n, dim; then n x dim float32.  With ``part`` = queries the file
+              beside it whose name ends in _query.fbin.
     data_new  uint32 unused, n, dim; then rows.  With ``part`` = queries the first
               ``split`` rows (default 200), with data (default) those after them, ids
               from 0.
     fvecs     each row uint32 dim and its float32 values; rows may differ in length.
     ivecs     the same with int32 values.
-    strided   rows of dim float32 with ``gap`` bytes behind each and ``skip`` bytes at the
-              start of the file; dim is the uint32 at the file's start.
+    strided   ``skip`` bytes, then rows of ``gap`` bytes and dim float32; dim is the
+              uint32 at the file's start.  Bytes behind the last whole row are ignored.
     knng      uint32 n; then per node int32 k and k x uint32 neighbours.
     truth     int32 n, k; n x k int32 ids; then n x k float32 scores.
 
 Rows of a fixed size are read by range, a partition for each ROWS of them; the others
 by one partition a file.  Without a layout, paths with "deep1B", "yandex" or ending in
-.fbin are fbin, .fvecs and .ivecs by name, and the rest data_new.
+.fbin are fbin, .fvecs and .ivecs by name, and the rest data_new.  A file shorter than
+its header says raises an error.
 """
 
 from __future__ import annotations
@@ -79,6 +81,8 @@ class VectorReader(DataSourceReader):
         self.path, self.layout = options["path"], layout
         self.part, self.split = options.get("part", "data"), int(options.get("split", 200))
         self.skip, self.gap = int(options.get("skip", 0)), int(options.get("gap", 0))
+        if layout == "fbin" and self.part == "queries" and not self.path.endswith("_query.fbin"):
+            self.path = self.path.removesuffix(".fbin") + "_query.fbin"
 
     def _file(self):
         where, path = opened(self.path)
@@ -89,7 +93,7 @@ class VectorReader(DataSourceReader):
         if self.layout == "strided":
             dim = int(np.frombuffer(f.read_at(4, 0), "<u4")[0])
             step = 4 * dim + self.gap
-            return self.skip, (f.size() - self.skip) // step if step else 0, dim, step
+            return self.skip, max(0, f.size() - self.skip) // step if step else 0, dim, step
         if self.layout == "fbin":
             n, dim = (int(x) for x in np.frombuffer(f.read_at(8, 0), "<u4"))
             return 8, n, dim, 4 * dim
@@ -110,7 +114,10 @@ class VectorReader(DataSourceReader):
                 at, _, dim, step = self._shape(f)
                 for i in range(partition.start, partition.stop, 4096):
                     m = min(4096, partition.stop - i)
-                    data = np.frombuffer(f.read_at(m * step, at + i * step).ljust(m * step, b"\0"), "u1").reshape(m, step)[:, : 4 * dim]
+                    raw = f.read_at(m * step, at + i * step)
+                    if len(raw) < m * step:
+                        raise ValueError(f"{self.path} ends within row {i + len(raw) // max(step, 1)}")
+                    data = np.frombuffer(raw, "u1").reshape(m, step)[:, step - 4 * dim :]
                     for j, row in enumerate(np.ascontiguousarray(data).view("<f4")):
                         yield i + j, row.tolist()
             elif self.layout in ("fvecs", "ivecs"):
