@@ -55,9 +55,10 @@ def shared(rows: DataFrame) -> DataFrame:
     """
     whole = Window.partitionBy("bucket")
     own = [c for c in rows.columns if c != "bucket"]
-    dealt = rows.repartition("bucket").withColumn("low", F.min("node").over(whole)).withColumn("p", F.max(F.struct("node", *own[1:])).over(whole))
-    some = dealt.where(F.col("low") < F.col("p.node")).drop("low").dropDuplicates(["bucket", "node"])
-    return materialize(some.withColumn("n", F.count("*").over(whole)), "shared")
+    dealt = rows.repartition("bucket").withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole))
+    # Most rows are alone in their bucket; only the others get their pivot and number.
+    some = dealt.where(F.col("low") < F.col("high")).drop("low", "high").dropDuplicates(["bucket", "node"])
+    return materialize(some.withColumn("p", F.max(F.struct(*own)).over(whole)).withColumn("n", F.count("*").over(whole)), "shared")
 
 
 def classes(rows: DataFrame, sets: DataFrame, percent: int, near: Callable[[str, str], Column], close: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, more: DataFrame | None = None, names: DataFrame | None = None, near_last: Callable[[str, str], Column] | None = None) -> DataFrame:
