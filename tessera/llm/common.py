@@ -61,6 +61,13 @@ def drop(*tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def bound_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """At most so many rows in an Arrow batch of this session: batches of long texts stay small on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, size):

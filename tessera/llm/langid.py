@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Bitmap, materialize, slices
+from tessera.llm.common import Bitmap, bound_batches, materialize, slices
 
 FEATURES = 8192
 CENTROIDS = 4
@@ -115,6 +115,7 @@ class Model:
 
 def fit(docs: DataFrame, learn: Column) -> Model:
     """Learn from the documents (doc_id, text, lang) where ``learn`` holds and lang and text are not null."""
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

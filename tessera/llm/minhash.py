@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import closure
-from tessera.llm.common import Bitmap, drop, materialize, slices
+from tessera.llm.common import Bitmap, bound_batches, drop, materialize, slices
 
 WORDS, PERCENT = 5, 75
 BITS, LANES, CHUNKS = 16, 4, 24
@@ -117,6 +117,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 ["doc_id", "r1", "r2", "n_shingles", "f1", "f2", "signature"],
             )
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_row_name())
     return rows.mapInArrow(run, "doc_id long, r1 long, r2 long, n_shingles long, f1 long, f2 long, signature array<long>")
 
