@@ -49,6 +49,8 @@ RARE = 16
 OWN = TOKENS - 1 - BUCKETS
 SIDE, WIDTH = 2, 32
 BATCH, RATE, SEED = 16_384, 0.1, 17
+#: Rows worked on together, the logits that float32 can raise, and the least log-probability.
+ROWS, REACH, LEAST = 1024, 60, -140.0
 #: Words remembered by a task, and distinct words counted before they are passed on.
 KEPT_WORDS = 300_000
 BLOCK = 1024
@@ -138,36 +140,55 @@ def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return line[at], np.stack([line[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))])
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return logits / logits.sum(axis=1, keepdims=True)
+def _hidden(m: dict, context: np.ndarray) -> np.ndarray:
+    """The hidden layer, with a last column of ones that the biases are multiplied by."""
+    out = np.empty((context.shape[1], WIDTH + 1), np.float32)
+    for a in range(0, len(out), ROWS):
+        h = m["b"] + m["E"][0].take(context[0, a : a + ROWS], axis=0)
+        for p in range(1, 2 * SIDE):
+            h += m["E"][p].take(context[p, a : a + ROWS], axis=0)
+        np.tanh(h, out=out[a : a + ROWS, :-1])
+    out[:, -1] = 1
+    return out
 
 
-def _hidden(m: dict, context: np.ndarray) -> np.ndarray:
-    out = m["b"] + m["E"][0][context[0]]
-    for p in range(1, 2 * SIDE):
-        out += m["E"][p][context[p]]
-    return np.tanh(out)
+def _levels(m: dict, target: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
+    """The softmax levels of sorted targets: class (-1: of the classes), rows (ROWS at most, so that they stay in the processor's cache), weights with the biases as last row, ids."""
+    classes, members = m["bw"].shape
+    group, member = np.divmod(target, members)
+    w = np.vstack([m["Wc"], m["bc"]])
+    for a in range(0, len(target), ROWS):
+        yield -1, slice(a, a + ROWS), w, group[a : a + ROWS]
+    ends = np.searchsorted(group, np.arange(classes + 1)).tolist()
+    for c in range(classes):
+        if ends[c] < ends[c + 1]:
+            w = np.vstack([m["Ww"][c], m["bw"][c]])
+        for a in range(ends[c], ends[c + 1], ROWS):
+            rows = slice(a, min(a + ROWS, ends[c + 1]))
+            yield c, rows, w, member[rows]
+
+
+def _shifted(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Logits that float32 can raise: less their largest, where the weights allow more than REACH."""
+    logits = h @ w
+    if np.abs(w).sum(axis=0).max() > REACH:
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
 
 
 def log_probs(m: dict, target: np.ndarray, context: np.ndarray) -> np.ndarray:
     """log P of each target given its window."""
     out = np.empty(len(target))
-    classes, members = m["bw"].shape
     for a in range(0, len(target), BATCH):
         t = target[a : a + BATCH]
         order = np.argsort(t, kind="stable")
-        t = t[order]
-        h = _hidden(m, context[:, a : a + BATCH][:, order])
-        group, member = t // members, t % members
-        p = np.log(np.maximum(_softmax(h @ m["Wc"] + m["bc"])[np.arange(len(t)), group], 1e-30))
-        ends = np.searchsorted(group, np.arange(classes + 1))
-        for c in range(classes):
-            i, j = ends[c], ends[c + 1]
-            if i < j:
-                own = _softmax(h[i:j] @ m["Ww"][c] + m["bw"][c])
-                p[i:j] += np.log(np.maximum(own[np.arange(j - i), member[i:j]], 1e-30))
-        out[a + order] = p
+        h, p = _hidden(m, context[:, a : a + BATCH][:, order]), np.zeros(len(t))
+        for _, rows, w, own in _levels(m, t[order]):
+            logits = _shifted(h[rows], w)
+            p[rows] += logits[np.arange(len(own)), own]
+            np.exp(logits, out=logits)
+            p[rows] -= np.log(logits @ np.ones(len(w.T), np.float32))
+        out[a + order] = np.maximum(p, LEAST)
     return out
 
 
@@ -176,36 +197,37 @@ def train_batch(m: dict, seen: dict, target: np.ndarray, context: np.ndarray) ->
     order = np.argsort(target, kind="stable")
     t, context = target[order], context[:, order]
     n = len(t)
-    classes, members = m["bw"].shape
     h = _hidden(m, context)
-    group, member = t // members, t % members
-    dc = _softmax(h @ m["Wc"] + m["bc"])
-    dc[np.arange(n), group] -= 1
-    grad = {"Wc": h.T @ dc, "bc": dc.sum(axis=0), "Ww": np.zeros_like(m["Ww"]), "bw": np.zeros_like(m["bw"])}
-    dh = dc @ m["Wc"].T
-    ends = np.searchsorted(group, np.arange(classes + 1))
-    for c in range(classes):
-        i, j = ends[c], ends[c + 1]
-        if i < j:
-            dw = _softmax(h[i:j] @ m["Ww"][c] + m["bw"][c])
-            dw[np.arange(j - i), member[i:j]] -= 1
-            grad["Ww"][c], grad["bw"][c] = h[i:j].T @ dw, dw.sum(axis=0)
-            dh[i:j] += dw @ m["Ww"][c].T
+    grad, dh = {k: np.zeros_like(m[k]) for k in ("Wc", "bc", "Ww", "bw")}, np.zeros((n, WIDTH), np.float32)
+    for c, rows, w, own in _levels(m, t):
+        d = _shifted(h[rows], w)
+        np.exp(d, out=d)
+        d /= (d @ np.ones(len(w.T), np.float32))[:, None]
+        d[np.arange(len(own)), own] -= 1
+        g = h[rows].T @ d
+        gw, gb = (grad["Wc"], grad["bc"]) if c < 0 else (grad["Ww"][c], grad["bw"][c])
+        gw += g[:-1]
+        gb += g[-1]
+        dh[rows] += d @ w[:-1].T
+    h = h[:, :-1]
     dh *= 1 - h * h
     grad["b"] = dh.sum(axis=0)
+    # Only the rows of the batch's words have a gradient; a sum per word and column.
+    weights, column = dh.astype(float).ravel(), np.arange(WIDTH)
     for p in range(2 * SIDE):
-        by = np.argsort(context[p], kind="stable")
-        ids = context[p][by]
-        cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        # Only the rows of the batch's words have a gradient.
-        g, some = np.add.reduceat(dh[by], cut, axis=0) / n, ids[cut]
+        present = np.bincount(context[p], minlength=len(m["E"][p])) > 0
+        some, place = np.flatnonzero(present), (np.cumsum(present) - 1) * WIDTH
+        g = np.bincount((place[context[p]][:, None] + column).ravel(), weights, len(some) * WIDTH)
+        g = (g.reshape(-1, WIDTH) / n).astype(np.float32)
         squares = seen["E"][p][some] + g * g
         seen["E"][p][some] = squares
         m["E"][p][some] -= (RATE * g / (np.sqrt(squares) + 1e-8)).astype(np.float32)
     for k, g in grad.items():
-        g = g / n
+        g /= n
         seen[k] += g * g
-        m[k] -= (RATE * g / (np.sqrt(seen[k]) + 1e-8)).astype(np.float32)
+        g *= RATE
+        g /= np.sqrt(seen[k]) + np.float32(1e-8)
+        m[k] -= g
 
 
 def _batches(batches: Iterator[pa.RecordBatch], ids: TokenIds) -> Iterator[tuple[np.ndarray, np.ndarray]]:
