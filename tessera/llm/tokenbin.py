@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -66,22 +67,30 @@ class LibraryEncoder:
         self.words = _Words(self._word)
         self.stems = _Words(self._stem)
 
+    def _ids(self, shown: str) -> bytes:
+        """The library's model on one pre-token in its normalised, byte-level form."""
+        ids = [t.id for t in self.library.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _stem(self, word: bytes) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._ids(word.lower().decode())
         text = word.decode()
         if text.isalpha():
-            # One pre-token: the library's model takes its normalised, byte-level form at once.
             low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
             if low.isalpha():
-                shown = low if low.isascii() else "".join(map(self.symbols.__getitem__, low.encode()))
-                return np.array([t.id for t in self.library.model.tokenize(shown)], dtype="<u4").tobytes()
+                return self._ids("".join(map(self.symbols.__getitem__, low.encode())))
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        low = word.lower() if word.isascii() else word
+        plain = word.isascii()
+        low = word.lower() if plain else word
+        if plain and low.isalpha():
+            return self.stems[low]
         stem = low.rstrip(PUNCTUATION)
-        if stem == low or not stem or not stem.decode().isalpha():
-            return self.stems[word if b"<" in word else low]
-        return self.stems[stem] + self.stems[low[len(stem) :]]
+        if stem != low and (stem.isalpha() if plain else stem.decode().isalpha()):
+            return self.stems[stem] + self.stems[low[len(stem) :]]
+        return self.stems[word if b"<" in word else low]
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.words.__getitem__, (text or "").encode().split()))
