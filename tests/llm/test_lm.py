@@ -95,3 +95,21 @@ def test_the_vocabulary_follows_the_corpus(spark):
     model = lm.start(some)
     assert model["bw"].size == model["E"].shape[1] >= sum(lm.shared_ids(some))
     assert max(lm.TokenIds(some).of(text + " other words")) < model["bw"].size
+
+
+def test_large_weights_stay_finite():
+    t, c = lm.windows([lm.TokenIds([b"a", b"b"]).of("a b c d " * 40)])
+    m = lm.start()
+    m["Wc"] *= 300
+    m["bc"] += np.arange(lm.CLASSES, dtype=np.float32)
+    got = lm.log_probs(m, t, c)
+    h = np.tanh(sum(m["E"][p][c[p]].astype(float) for p in range(4)) + m["b"])
+    want = np.zeros(len(t))
+    for logits, k in ((h @ m["Wc"] + m["bc"], t // 32), (np.einsum("nw,nwk->nk", h, m["Ww"][t // 32]) + m["bw"][t // 32], t % 32)):
+        top = logits.max(axis=1)
+        want += logits[np.arange(len(t)), k] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    assert np.abs(m["Wc"]).sum(axis=0).max() > lm.REACH
+    assert got == pytest.approx(np.maximum(want, lm.LEAST), rel=1e-3, abs=1e-3)
+    seen = {k: np.zeros(v, np.float32) for k, v in lm.SHAPES.items()}
+    lm.train_batch(m, seen, t, c)
+    assert all(np.isfinite(v).all() for v in m.values())
