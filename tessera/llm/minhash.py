@@ -42,6 +42,8 @@ LIMIT = (ERRORS + 1) * CHUNKS - 1
 #: Room for the number of a key.
 SLOTS = 256
 KEPT_WORDS = 250_000
+#: Longs of a sketch.
+SKETCH = 16
 
 
 class _Hashes(dict):
@@ -103,6 +105,12 @@ def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([divmod(xxhash.xxh128_intdigest(s.tobytes()), 1 << 64) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
 
 
+def sketch(items: np.ndarray) -> np.ndarray:
+    """SKETCH integers: each item turns one of their bits."""
+    odd = np.bincount((items & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, f1 and f2 (a 128-bit fingerprint of the set) and signature of every document; r1 and r2 name its id and text."""
 
@@ -153,7 +161,7 @@ def first_shared(x: str, y: str) -> Column:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, items) of the nodes (node, f1, f2, doc_id: one that has the set)."""
+    """(node, items, n, sketch) of the nodes (node, f1, f2, doc_id: one that has the set); for sketches see ``closure.may``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -161,14 +169,15 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             prints = fingerprints(sets)
             ends = pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32))
             items = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(prints[:, 0]), pa.array(prints[:, 1]), items], ["f1", "f2", "items"])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate([*map(sketch, sets), np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([pa.array(prints[:, 0]), pa.array(prints[:, 1]), items, pa.array([len(s) for s in sets], pa.int32()), bits], ["f1", "f2", "items", "n", "sketch"])
 
     # Null ids have a hash too, so that documents without id are found.
     name = F.xxhash64(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
     wanted = materialize(nodes.select(name.alias("name")).distinct(), "wanted")
     some = docs.select(name.alias("name"), "text").where(Bitmap(wanted)(F.col("name"))).join(wanted, "name", "left_semi")
-    found = some.select("text").mapInArrow(run, "f1 long, f2 long, items array<long>")
-    return materialize(found.join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).dropDuplicates(["node"]).select("node", "items"), "sets")
+    found = some.select("text").mapInArrow(run, "f1 long, f2 long, items array<long>, n int, sketch array<long>")
+    return materialize(found.join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).dropDuplicates(["node"]).select("node", "items", "n", "sketch"), "sets")
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
@@ -194,10 +203,6 @@ def _labelled(docs: DataFrame) -> DataFrame:
         a, b = (F.expr(f"{r}.size DIV {SLOTS}") for r in (x, y))
         return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
-    def close(pairs: DataFrame) -> DataFrame:
-        x, y = (short.select(F.col("node").alias(c), F.struct("signature").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-        return materialize(pairs.join(x, "a").join(y, "b").where(differing("x", "y") <= LIMIT).select("a", "b"), "close")
-
     def once(x: str, y: str) -> Column:
         return sizes(x, y) & (differing(x, y) <= LIMIT) & first_shared(x, y)
 
@@ -205,7 +210,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
     named = signed.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "f1", "f2").join(nodes.select("f1", "f2", "node"), ["f1", "f2"])
     same_id = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
     more = materialize(named.join(same_id, "doc_id").where("node > a").select("a", F.col("node").alias("b")).distinct(), "same-id")
-    labels = closure.classes(rows, sets, PERCENT, sizes, close, more, short.select("node", "signature"), once)
+    labels = closure.classes(rows, sets, PERCENT, sizes, more, short.select("node", "signature"), once)
     label = nodes.join(labels, "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("label"))
     out = materialize(signed.drop("signature").join(label, ["f1", "f2"], "left"), "labelled")
     drop(signed, rows, met, short, sets)

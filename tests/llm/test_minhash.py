@@ -131,3 +131,25 @@ def test_large_group_makes_few_pairs(spark):
     finally:
         closure.jaccard_links = links
     assert got == brute(docs) and sum(seen) < 12 * 600
+
+
+def test_components_without_the_driver(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(140)], "a long, b long").where("a <> b")
+    few = {r.node: r.label for r in closure.components(edges).collect()}
+    monkeypatch.setattr(closure, "FEW", 0)
+    assert few and {r.node: r.label for r in closure.components(edges).collect()} == few
+
+
+def test_sketches_part_no_alike_sets(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for n in (1, 3, 7, 40, 400, 5000):
+        for share in (0.0, 0.5, 0.74, 0.75, 0.8, 1.0):
+            both = rng.integers(1, 1 << 63, 2 * n + 2).astype(np.uint64)
+            m = int(np.ceil(2 * n * share / (1 + share)))
+            x, y = np.unique(both[:n]), np.unique(np.concatenate([both[:m], both[n : 2 * n - m]]))
+            rows.append((len(x), len(y), *(minhash.sketch(s).tolist() for s in (x, y)), 100 * len(set(x) & set(y)) >= 75 * len(set(x) | set(y))))
+    df = spark.createDataFrame(rows, "m int, n int, x array<long>, y array<long>, alike boolean")
+    got = df.select("alike", "m", closure.may("m", "n", "x", "y", 75).alias("may")).collect()
+    assert all(r.may for r in got if r.alike) and sum(r.alike for r in got) >= 12 and not all(r.may for r in got if not r.alike)
