@@ -142,7 +142,7 @@ def _differing(v: Column) -> Column:
     return even + odd
 
 
-def chunk_distance(x: str, y: str, chunk: int | str) -> Column:
+def chunk_distance(x: str, y: str, chunk: int) -> Column:
     return _differing(F.expr(f"({x}.signature[{chunk}] ^ {y}.signature[{chunk}])"))
 
 
@@ -151,15 +151,6 @@ def differing(x: str, y: str) -> Column:
     return reduce(Column.__add__, [chunk_distance(x, y, c) for c in range(CHUNKS)])
 
 
-def first_shared(x: str, y: str) -> Column:
-    """Whether the rows' bucket is the first of those that the signatures share."""
-    own = F.expr(f"CAST({x}.size % {SLOTS} AS INT)")
-    chunk = F.floor(own / LANES)
-    earlier = [(chunk <= c) | (chunk_distance(x, y, c) > ERRORS) for c in range(CHUNKS - 1)]
-    here = chunk_distance(x, y, f"CAST({x}.size % {SLOTS} DIV {LANES} AS INT)")
-    return reduce(Column.__and__, earlier) & ((here == ERRORS) | (own % LANES == 0))
-
-
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, items, n, sketch) of the nodes (node, f1, f2, doc_id: one that has the set); for sketches see ``closure.may``."""
 
@@ -203,14 +194,11 @@ def _labelled(docs: DataFrame) -> DataFrame:
         a, b = (F.expr(f"{r}.size DIV {SLOTS}") for r in (x, y))
         return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
-    def once(x: str, y: str) -> Column:
-        return sizes(x, y) & (differing(x, y) <= LIMIT) & first_shared(x, y)
-
     # The texts of one id are one document.
     named = signed.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "f1", "f2").join(nodes.select("f1", "f2", "node"), ["f1", "f2"])
     same_id = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
     more = materialize(named.join(same_id, "doc_id").where("node > a").select("a", F.col("node").alias("b")).distinct(), "same-id")
-    labels = closure.classes(rows, sets, PERCENT, sizes, more, short.select("node", "signature"), once)
+    labels = closure.classes(rows, sets, PERCENT, sizes, more, short.select("node", "signature"), lambda x, y: differing(x, y) <= LIMIT)
     label = nodes.join(labels, "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("label"))
     out = materialize(signed.drop("signature").join(label, ["f1", "f2"], "left"), "labelled")
     drop(signed, rows, met, short, sets)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -153,3 +154,31 @@ def test_sketches_part_no_alike_sets(spark):
     df = spark.createDataFrame(rows, "m int, n int, x array<long>, y array<long>, alike boolean")
     got = df.select("alike", "m", closure.may("m", "n", "x", "y", 75).alias("may")).collect()
     assert all(r.may for r in got if r.alike) and sum(r.alike for r in got) >= 12 and not all(r.may for r in got if not r.alike)
+
+
+def test_joins_are_small_enough_to_be_compiled(spark, monkeypatch):
+    """The JVM interprets methods of more than 8,000 bytes of code; each pair of a bucket then took 20 microseconds."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(60)]
+    docs = []
+    for d in range(60):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(60)] = f"x{d}"
+        docs.append((d, " ".join(words), "", ""))
+    sizes, plain, mode = [], closure.materialize, spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+
+    def written(df, tag):
+        if tag == "pairs":
+            sizes.extend(map(int, re.findall(r"maxMethodCodeSize:(\d+)", df._jdf.queryExecution().explainString(mode))))
+        return plain(df, tag)
+
+    monkeypatch.setattr(closure, "materialize", written)
+    for name, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(name, value)
+    try:
+        got = sorted(tuple(r) for r in minhash.classify(spark.createDataFrame(docs, SCHEMA)).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == brute(docs) and sizes and max(sizes) < 8000
