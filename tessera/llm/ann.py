@@ -17,9 +17,6 @@ the query's; ties go to the smaller id; a repeated id counts once per distinct v
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,8 +24,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 
-#: Points of a leaf, of a shard, queries of a block, and blocks for each copy of a shard.
-LEAF, SHARD, BLOCK, LANE = 128, 8192, 512, 8
+#: Points of a leaf, of a shard, queries of a block, and blocks of a lane at most.
+LEAF, SHARD, BLOCK, LANE = 128, 16384, 512, 64
+#: Tasks below which a shard is copied to more lanes.
+TASKS = 32
 #: Room for rounding in the comparison of distances: sqrt(2 - 2 x.y) is off by up to about 3e-8 near zero.
 SLACK = 1e-7
 RESULT = "query_id long, vec_id long, score double"
@@ -56,23 +55,13 @@ class VpTree:
     def __init__(self, ids: np.ndarray, points: np.ndarray):
         by = np.argsort(ids, kind="stable")
         self.ids, self.points = ids[by], points[by]
-        self._derive()
-        self.order = np.arange(len(ids))
-        self.nodes: list[tuple] = []  # (vantage, mu, inner, outer) or (start, end)
-        self._build(0, len(ids))
-
-    def _derive(self) -> None:
         self.norms = np.sqrt(dot(self.points, self.points))
         scale = np.abs(self.points).max(axis=1, keepdims=True)  # no overflow in the squares
         unit = self.points / scale
         self.units = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-
-    def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("ids", "points", "order", "nodes")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._derive()
+        self.order = np.arange(len(ids))
+        self.nodes: list[tuple] = []  # (vantage, mu, inner, outer) or (start, end)
+        self._build(0, len(ids))
 
     def _build(self, a: int, b: int) -> int:
         at = len(self.nodes)
@@ -103,7 +92,7 @@ class VpTree:
         units /= np.linalg.norm(units, axis=1, keepdims=True)
         n = len(queries)
         best = np.full((n, k), np.inf)
-        held: list[list[np.ndarray]] = [[] for _ in range(n)]
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, point, distance
         cost = 0
         # Each query goes to the nearer side first: a first descent to one leaf sets tau, the second visits what is left.
         first_leaf = np.full(n, -1)
@@ -114,14 +103,12 @@ class VpTree:
             far = self._distance(units[some], self.units[inside])
             far[self.ids[inside][None, :] == query_ids[some][:, None]] = np.inf
             cost += far.size
-            tau = best[some][:, -1]
-            best[some] = np.partition(np.concatenate([best[some], far], axis=1), k - 1, axis=1)[:, :k]
-            best[some] = np.sort(best[some], axis=1)
-            for row, q in enumerate(some):
-                # Rounding may turn ties around: what is as near as the k-th, but for SLACK, is held.
-                limit = min(tau[row], best[q, -1]) + SLACK
-                if (near := np.flatnonzero((far[row] <= limit) & np.isfinite(far[row]))).size:
-                    held[q].append(inside[near])
+            nearer = np.flatnonzero(far.min(axis=1) <= best[some, -1] + SLACK)
+            some, far = some[nearer], far[nearer]
+            best[some] = np.sort(np.partition(np.concatenate([best[some], far], axis=1), k - 1, axis=1)[:, :k], axis=1)
+            # Rounding may turn ties around: what is as near as the k-th, but for SLACK, is held.
+            row, col = np.nonzero((far <= best[some][:, -1:] + SLACK) & np.isfinite(far))
+            held.append((some[row], inside[col], far[row, col]))
 
         def descend(node: int, some: np.ndarray) -> None:
             nonlocal cost
@@ -160,35 +147,27 @@ class VpTree:
         everyone = np.arange(n)
         descend(0, everyone)
         visit(0, everyone)
-        out = []
-        norms = np.sqrt(dot(queries, queries))
-        for q in range(n):
-            if held[q]:
-                found = np.unique(np.concatenate(held[q]))
-                cosine = dot(self.points[found], queries[q][None]) / (self.norms[found] * norms[q])
-                ids = self.ids[found]
-                for j in np.lexsort((ids, -cosine))[:k]:
-                    out.append((int(query_ids[q]), int(ids[j]), float(cosine[j])))
-        return out, cost
+        q, p, far = (np.concatenate(x) for x in zip(*held, strict=True))
+        near = far <= best[q, -1] + SLACK
+        q, p = q[near], p[near]
+        cosine = dot(self.points[p], queries[q]) / (self.norms[p] * np.sqrt(dot(queries, queries))[q])
+        by = np.lexsort((self.ids[p], -cosine, q))
+        q, p, cosine = q[by], p[by], cosine[by]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return list(zip(query_ids[q[first]].tolist(), self.ids[p[first]].tolist(), cosine[first].tolist(), strict=True)), cost
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
 
 
-def shards(vectors: DataFrame, k: int) -> tuple[DataFrame, int]:
-    """(dim, shard, tree) of every usable vector, at most k + 1 rows of one value, dealt by id hash; and the number of shards."""
+def distinct(vectors: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """(vec_id, embedding, dim) of usable vectors, at most k + 1 rows of one value and each row once; and the number of shards."""
+    # Equal rows share a rank and a dense rank, so one exchange by value serves both.
     few = Window.partitionBy("dim", "embedding").orderBy("vec_id")
-    v = vectors.dropDuplicates(["vec_id", "embedding"]).withColumn("copy", F.row_number().over(few)).where(F.col("copy") <= k + 1)
-    v = materialize(v.select("vec_id", "embedding", "dim"), "ann-vectors")
-    n = max(1, -(-v.count() // SHARD))
-
-    def build(rows: pa.Table) -> pa.Table:
-        tree = VpTree(rows["vec_id"].to_numpy(), _matrix(rows["embedding"].combine_chunks()))
-        return pa.table({"dim": rows["dim"][:1], "shard": rows["shard"][:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
-
-    dealt = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    return materialize(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary"), "ann-shards"), n
+    v = vectors.withColumns({"copy": F.dense_rank().over(few), "tie": F.rank().over(few), "place": F.row_number().over(few)})
+    v = materialize(v.where((F.col("copy") <= k + 1) & (F.col("tie") == F.col("place"))).select("vec_id", "embedding", "dim"), "ann-vectors")
+    return v, max(1, -(-v.count() // SHARD))
 
 
 def blocks(queries: DataFrame) -> tuple[DataFrame, int]:
@@ -197,35 +176,49 @@ def blocks(queries: DataFrame) -> tuple[DataFrame, int]:
 
     def pack(rows: pa.Table) -> pa.Table:
         x = _matrix(rows["embedding"].combine_chunks())
+        with np.errstate(over="ignore"):
+            short = x.astype(np.float32)
+        x = short if (short == x).all() else x
         return pa.table({"dim": rows["dim"][:1], "block": rows["block"][:1], "ids": pa.array([rows["vec_id"].to_numpy().tobytes()], pa.binary()), "vectors": pa.array([x.tobytes()], pa.binary())})
 
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
     return dealt.groupBy("dim", "block").applyInArrow(pack, "dim int, block int, ids binary, vectors binary"), n
 
 
+def unpack(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's ids and vectors, which are in float32 where that holds them exactly."""
+    q = np.frombuffer(ids, np.int64)
+    return q, np.frombuffer(vectors, np.float32 if len(vectors) == 4 * dim * len(q) else np.float64).reshape(len(q), dim).astype(float)
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, factor: float = 1.0) -> DataFrame:
     """query_id, rank, vec_id, score (cosine) of the k nearest rows of each query row, its own id left out.
 
-    ``vectors`` has vec_id and embedding.  Every block of queries is sent to every
-    shard of its dimension; a shard has a copy for each LANE blocks, so that the
-    blocks of one shard are dealt over tasks too.
+    ``vectors`` has vec_id and embedding.  The points of a shard (dealt by id hash) meet
+    the blocks of queries of a lane in one group, where their tree is built and walked.
+    Every shard has a copy in every lane, and every block one in every shard.  Groups
+    are dealt by exchanges: as a join, the copies could be broadcast on an estimate that
+    doesn't count them.
     """
     rows = usable(vectors)
     queries = rows.where(is_query).dropDuplicates(["vec_id"])
-    trees, n_shards = shards(rows, k)
+    points, n_shards = distinct(rows, k)
     packed, n_blocks = blocks(queries)
-    lanes = -(-n_blocks // LANE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for tree, ids, x in zip(*(batch.column(i) for i in range(3)), strict=True):
-                q = np.frombuffer(ids.as_py(), np.int64)
-                got, _ = pickle.loads(tree.as_py()).search(q, np.frombuffer(x.as_py()).reshape(len(q), -1), k, factor)
-                yield pa.RecordBatch.from_pydict({c: pa.array([g[i] for g in got], t) for i, (c, t) in enumerate((("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())))})
-
-    sent = packed.select("dim", F.pmod("block", F.lit(lanes)).alias("lane"), "ids", "vectors", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
-    copies = trees.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    found = copies.join(sent, ["dim", "shard", "lane"]).select("tree", "ids", "vectors").mapInArrow(run, RESULT)
+    lanes = max(-(-n_blocks // LANE), min(n_blocks, -(-TASKS // n_shards)))
+
+    def run(some: pa.Table, asked: pa.Table) -> pa.Table:
+        got = []
+        if some.num_rows and asked.num_rows:
+            tree = VpTree(some["vec_id"].to_numpy(), _matrix(some["embedding"].combine_chunks()))
+            for ids, x in zip(asked["ids"], asked["vectors"], strict=True):
+                got += tree.search(*unpack(ids.as_py(), x.as_py(), some["dim"][0].as_py()), k, factor)[0]
+        return pa.table({c: pa.array([g[i] for g in got], t) for i, (c, t) in enumerate((("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())))})
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = points.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int")).withColumn("lane", every(lanes))
+    sent = packed.select("dim", every(n_shards).alias("shard"), F.pmod("block", F.lit(lanes)).alias("lane"), "ids", "vectors")
+    by = ["dim", "shard", "lane"]
+    found = dealt.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(run, RESULT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

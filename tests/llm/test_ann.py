@@ -56,3 +56,22 @@ def test_factor_trades_recall_for_distances():
 def test_few_rows(spark, n):
     df = spark.createDataFrame([(10 * i, [1.0, float(i)], 1, "x") for i in range(n)], SCHEMA)
     assert ann.nearest(df, F.lit(True)).count() == n * (n - 1)
+
+
+def test_copies_of_a_shard_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    rows = cases()
+    df = spark.createDataFrame(rows, SCHEMA).union(spark.createDataFrame(rows[::7], SCHEMA))
+    out = ann.nearest(df, F.col("vec_id") % 10 == 0)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in out.collect()}
+    assert got == {(q, i + 1): x for q, w in brute(rows, 10, 5).items() for i, x in enumerate(w)}
+    # Trees had a copy for each lane; a join's side of few trees was broadcast with all their copies.
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_keep_double_precision(spark):
+    rows = [(10 * i, [1.0, 0.1 * i, 1e300], 1, "x") for i in range(1, 9)]
+    packed, _ = ann.blocks(ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, score string")))
+    block = packed.first()
+    ids, x = ann.unpack(block.ids, block.vectors, block.dim)
+    assert sorted(zip(ids.tolist(), x.tolist(), strict=True)) == [(i, v) for i, v, *_ in rows]
